@@ -43,12 +43,12 @@ def pattern_mentions(docs: DataFrame, wide: bool = False) -> DataFrame:
     )
 
 
-def dictionary(names: DataFrame, name: str = "name") -> DataFrame:
-    """Names with the word key they are matched by."""
-    keyed = names.select(F.col(name).alias("name")).distinct().withColumn("_words", tx.words(F.col("name")))
-    return keyed.filter(F.size("_words") > 0).select(
-        "name", F.array_join("_words", " ").alias("_key"), F.size("_words").alias("_n")
-    )
+def dictionary(names: DataFrame) -> DataFrame:
+    """Names (``name`` and any tag columns) with the word key they are matched by."""
+    keyed = names.distinct().withColumn("_words", tx.words(F.col("name")))
+    return keyed.filter(F.size("_words") > 0).withColumn("_key", F.array_join("_words", " ")).withColumn(
+        "_n", F.size("_words")
+    ).drop("_words")
 
 
 def dictionary_mentions(sentences: DataFrame, names: DataFrame, capitalised: bool = True) -> DataFrame:
@@ -56,7 +56,8 @@ def dictionary_mentions(sentences: DataFrame, names: DataFrame, capitalised: boo
 
     Only run lengths that occur in the dictionary are generated, and with ``capitalised`` only
     runs that start with an upper-case letter. The optimizer broadcasts the dictionary when its
-    measured size allows and shuffles both sides otherwise.
+    measured size allows and shuffles both sides otherwise. Tag columns of the dictionary (such
+    as a label) come along.
     """
     lookup = dictionary(names)
     sizes = sorted(r[0] for r in lookup.select("_n").distinct().collect())
@@ -68,12 +69,12 @@ def dictionary_mentions(sentences: DataFrame, names: DataFrame, capitalised: boo
         made = F.transform(starts, lambda i: F.array_join(F.slice("_words", i, F.lit(size)), " "))
         return F.when(F.size("_words") >= size, made).otherwise(F.array().cast("array<string>"))
 
-    if not sizes:
-        return sentences.select(*keep, F.lit("").alias("name")).limit(0)
-    keys = F.array_distinct(F.concat(*[runs(n) for n in sizes]))
+    keys = F.array_distinct(F.concat(F.array().cast("array<string>"), *[runs(n) for n in sizes]))
     if capitalised:
         keys = F.filter(keys, lambda k: k.rlike(r"^\p{Lu}"))
-    return worded.select(*keep, F.explode(keys).alias("_key")).join(lookup.drop("_n"), "_key").select(*keep, "name")
+    return worded.select(*keep, F.explode(keys).alias("_key")).join(lookup.drop("_n"), "_key").select(
+        *keep, *names.columns
+    )
 
 
 def candidate_people(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -88,25 +89,38 @@ def candidate_people(docs: DataFrame, column: str = "text") -> DataFrame:
 
 def people(sentences: DataFrame, names: DataFrame) -> DataFrame:
     """Cleaned, valid person mentions per sentence."""
-    raw = dictionary_mentions(sentences, names)
+    raw = dictionary_mentions(sentences, names.select("name"))
     return raw.withColumn("name", tx.clean_person(F.col("name"))).filter(tx.is_valid_person(F.col("name")))
 
 
 def places(sentences: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Valid place mentions per sentence."""
-    raw = dictionary_mentions(sentences, gazetteer)
+    raw = dictionary_mentions(sentences, gazetteer.select("name"))
     return raw.withColumn("name", tx.strip(F.col("name"))).filter(tx.is_valid_place(F.col("name")))
 
 
-def all_mentions(docs: DataFrame, names: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """Every typed mention of each document once: (case_id, doc_id, label, value)."""
-    split = sentence_table(docs)
+def named_mentions(sentences: DataFrame, names: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """People and places per sentence, found in one pass: (.., label, value)."""
+    both = names.select("name", F.lit("Person").alias("label")).unionByName(
+        gazetteer.select("name", F.lit("Location").alias("label"))
+    )
+    raw = dictionary_mentions(sentences, both)
+    person = F.col("label") == "Person"
+    value = F.when(person, tx.clean_person(F.col("name"))).otherwise(tx.strip(F.col("name")))
+    kept = raw.withColumn("value", value).filter(
+        F.when(person, tx.is_valid_person(F.col("value"))).otherwise(tx.is_valid_place(F.col("value")))
+    )
+    return kept.select(*[c for c in sentences.columns if c != "sentence"], "label", "value")
+
+
+def all_mentions(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """Every typed mention of each document once: (case_id, doc_id, label, value).
+
+    ``named`` holds the people and places of the sentences of ``docs``.
+    """
     columns = ["case_id", "doc_id", "label", "value"]
-    persons = people(split, names).withColumn("label", F.lit("Person")).withColumnRenamed("name", "value")
-    spots = places(split, gazetteer).withColumn("label", F.lit("Location")).withColumnRenamed("name", "value")
     by_pattern = pattern_mentions(docs.select("case_id", "doc_id", "text"))
-    named = persons.select(columns).unionByName(spots.select(columns)).distinct()
-    return named.unionByName(by_pattern.select(columns))
+    return named.select(columns).distinct().unionByName(by_pattern.select(columns))
 
 
 def mention_lists(mentions: DataFrame) -> DataFrame:

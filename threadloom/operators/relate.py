@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from threadloom import rules
 from threadloom.functions import text as tx
-from threadloom.operators import mentions as mn
 from threadloom.operators import resolve as rs
 from threadloom.operators.upsert import accumulate, latest
 from threadloom.schema import EDGE_COLUMNS, EDGE_KEY
@@ -77,30 +76,28 @@ def sentences_holding(sentences: DataFrame, values: DataFrame) -> DataFrame:
     return found.filter(F.contains(text, F.col("value"))).select(*SENTENCE_KEY, "label", "value").distinct()
 
 
-def present_people(sentences: DataFrame, names: DataFrame, known: DataFrame) -> DataFrame:
+def present_people(named: DataFrame, known: DataFrame) -> DataFrame:
     """Known people of the case named in each sentence, aliases resolved: (.., label, value)."""
-    raw = mn.dictionary_mentions(sentences.select(*SENTENCE_KEY, "sentence"), names)
-    resolved = rs.resolve(raw.select("case_id", "name").distinct(), known)
-    canon = resolved.filter("resolution_type <> 'new'").select(
-        "case_id", F.col("raw_name").alias("name"), F.col("canonical_name").alias("value")
-    )
-    return raw.join(canon, ["case_id", "name"]).select(*SENTENCE_KEY, F.lit("Person").alias("label"), "value").distinct()
+    raw = named.filter("label = 'Person'")
+    resolved = rs.resolve(raw.select("case_id", F.col("value").alias("name")).distinct(), known)
+    canon = resolved.filter("resolution_type <> 'new'").select("case_id", "raw_name", "canonical_name")
+    return raw.withColumnRenamed("value", "raw_name").join(canon, ["case_id", "raw_name"]).select(
+        *SENTENCE_KEY, "label", F.col("canonical_name").alias("value")
+    ).distinct()
+
 
+def present_entities(sentences: DataFrame, named: DataFrame, entities: DataFrame) -> DataFrame:
+    """All stored entities of the case present in each sentence: (.., label, value).
 
-def present_entities(sentences: DataFrame, names: DataFrame, gazetteer: DataFrame, entities: DataFrame) -> DataFrame:
-    """All stored entities of the case present in each sentence: (.., label, value)."""
+    People by their resolved mention, places by exact mention, all others as substrings.
+    """
     columns = [*SENTENCE_KEY, "label", "value"]
-    persons = present_people(sentences, names, rs.known_values(entities, "Person"))
-    spots = mn.dictionary_mentions(sentences.select(*SENTENCE_KEY, "sentence"), gazetteer).select(
-        *SENTENCE_KEY, F.lit("Location").alias("label"), F.col("name").alias("value")
-    ).join(
-        entities.filter("label = 'Location'").select("case_id", "label", "value"),
-        ["case_id", "label", "value"], "left_semi",
-    )
-    held = sentences_holding(
-        sentences.select(*SENTENCE_KEY, "sentence"),
-        entities.filter(F.col("label").isin("Vehicle", "Phone", "Organization")).select("case_id", "label", "value"),
+    persons = present_people(named, rs.known_values(entities, "Person"))
+    stored = entities.select("case_id", "label", "value")
+    spots = named.filter("label = 'Location'").join(
+        stored.filter("label = 'Location'"), ["case_id", "label", "value"], "left_semi"
     )
+    held = sentences_holding(sentences, stored.filter(F.col("label").isin("Vehicle", "Phone", "Organization")))
     return persons.unionByName(spots.select(columns)).unionByName(held.select(columns))
 
 
@@ -110,52 +107,51 @@ def sentence_sightings(sentences: DataFrame, present: DataFrame, whole_word: boo
 
     Same-label pairs run from the earlier to the later value of the case list: longer names
     first, then by name. ``direction='mention_order'`` uses the position in the sentence.
+    Both sides of the self-join are the same shuffled table; the sentence text is joined only to
+    the pairs, on the same key.
     """
-    flagged = sentences.select(*SENTENCE_KEY, "sentence", fired_triggers(F.col("sentence"), whole_word).alias("fired"))
     tokens = F.size(F.split("value", r"(?U)\s+"))
     rank = F.when(F.col("label") == "Person", -tokens).otherwise(F.lit(0))
-    left = present.withColumn("rank", rank).join(flagged, SENTENCE_KEY)
-    if direction == "mention_order":
-        left = left.withColumn("rank", F.instr(F.col("sentence"), F.col("value")))
-    src = left.select(
-        *SENTENCE_KEY, F.col("label").alias("src_label"), F.col("value").alias("src_id"),
-        F.struct("rank", "value").alias("src_ord"), "sentence", "fired",
-    )
-    dst = left.select(
-        *SENTENCE_KEY, F.col("label").alias("dst_label"), F.col("value").alias("dst_id"),
-        F.struct("rank", "value").alias("dst_ord"),
+    side = present.select(*SENTENCE_KEY, "label", F.struct(rank.alias("rank"), "value").alias("item"))
+    a, b = side.alias("a"), side.alias("b")
+    same_sentence = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in SENTENCE_KEY]
+    kinds = sorted({(x, y) for _, x, y, _ in SENTENCE_RULES})
+    fits = F.lit(False)
+    for x, y in kinds:
+        pair = (F.col("a.label") == x) & (F.col("b.label") == y)
+        fits = fits | (pair & (F.col("a.item") < F.col("b.item")) if x == y else pair)
+    pairs = a.join(b, same_sentence).filter(fits).select(
+        *[F.col(f"a.{c}").alias(c) for c in SENTENCE_KEY],
+        F.col("a.label").alias("src_label"), F.col("a.item.value").alias("src_id"),
+        F.col("b.label").alias("dst_label"), F.col("b.item.value").alias("dst_id"),
     )
+    flagged = sentences.select(*SENTENCE_KEY, "sentence", fired_triggers(F.col("sentence"), whole_word).alias("fired"))
+    worded = pairs.join(flagged, SENTENCE_KEY)
+    if direction == "mention_order":
+        swap = (F.col("src_label") == F.col("dst_label")) & (
+            F.instr(F.col("sentence"), F.col("src_id")) > F.instr(F.col("sentence"), F.col("dst_id"))
+        )
+        worded = worded.withColumns({
+            "src_id": F.when(swap, F.col("dst_id")).otherwise(F.col("src_id")),
+            "dst_id": F.when(swap, F.col("src_id")).otherwise(F.col("dst_id")),
+        })
     allowed = F.array_compact(F.array(*[
         F.when(
-            (F.col("src_label") == a) & (F.col("dst_label") == b)
+            (F.col("src_label") == x) & (F.col("dst_label") == y)
             & (F.array_contains("fired", rel) if gated else F.lit(True)),
             F.lit(rel),
         )
-        for rel, a, b, gated in SENTENCE_RULES
+        for rel, x, y, gated in SENTENCE_RULES
     ]))
-    kinds = sorted({(a, b) for _, a, b, _ in SENTENCE_RULES})
-    fits = F.lit(False)
-    for a, b in kinds:
-        pair = (F.col("src_label") == a) & (F.col("dst_label") == b)
-        fits = fits | (pair & (F.col("src_ord") < F.col("dst_ord")) if a == b else pair)
-    pairs = src.join(dst, SENTENCE_KEY).filter(fits)
-    fired = pairs.withColumn("rel", F.explode(allowed))
-    worded = F.when(F.col("rel").isin("ASSOCIATE_OF", "FINANCIAL_TRAIL", "CDR_LINK"), F.col("sentence"))
-    return fired.select(
+    seen = worded.withColumn("rel", F.explode(allowed))
+    quoted = F.when(F.col("rel").isin("ASSOCIATE_OF", "FINANCIAL_TRAIL", "CDR_LINK"), F.col("sentence"))
+    return seen.select(
         F.col("case_id").alias("src_case"), "src_label", "src_id", "rel",
         F.col("case_id").alias("dst_case"), "dst_label", "dst_id",
-        worded.alias("source_sentence"), F.struct("doc_id", "sent_no").alias("ord"),
+        quoted.alias("source_sentence"), F.struct("doc_id", "sent_no").alias("ord"),
     )
 
 
-def relate_reports(docs: DataFrame, names: DataFrame, gazetteer: DataFrame, entities: DataFrame,
-                   whole_word: bool = False) -> DataFrame:
-    """Accumulated co-occurrence edges of all reports."""
-    split = mn.sentence_table(docs)
-    present = present_entities(split, names, gazetteer, entities)
-    return accumulate(sentence_sightings(split, present, whole_word))
-
-
 # ---------------------------------------------------------------- records
 
 

@@ -78,7 +78,7 @@ def tiled_pairs(df: DataFrame, keys: list[str], member: str, chunk: int = 2_000)
     right = tiled.select(
         *keys,
         F.col(member).alias(f"{member}_b"),
-        F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).cast("long").alias("_tile"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles").cast("long") - 1)).alias("_tile"),
     )
     return (
         left.join(right, [*keys, "_tile"])
