@@ -32,13 +32,23 @@ def normalise_phone(phone: Column) -> Column:
 
 
 def find_all(text: Column, patterns: list[str], flags: str = UNICODE) -> Column:
-    """All matches of all patterns, in pattern order, repeats kept."""
-    return F.concat(*[F.regexp_extract_all(text, F.lit(flags + p), F.lit(0)) for p in patterns])
+    """All matches of all patterns, in pattern order, repeats kept.
 
+    Patterns with a fixed part are tried only on texts that contain it.
+    """
+    def found(pattern: str) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(0))
+        for part in ("+91", "BH"):
+            if part in pattern.replace("\\", "") and "i" not in flags:
+                return _guarded(F.contains(text, F.lit(part)), hits)
+        return hits
 
-def _guarded(text: Column, needed: str, found: Column) -> Column:
-    """Skip the pattern scans on texts that lack what every pattern needs."""
-    return F.when(text.rlike(needed), found).otherwise(F.array().cast(EMPTY))
+    return F.concat(*[found(p) for p in patterns])
+
+
+def _guarded(possible: Column, found: Column) -> Column:
+    """Skip the pattern scans on texts that lack what the patterns need."""
+    return F.when(possible, found).otherwise(F.array().cast(EMPTY))
 
 
 def _distinct_stripped(found: Column) -> Column:
@@ -50,26 +60,26 @@ def _ten_digits(found: Column) -> Column:
 
 
 def phone_mentions(text: Column, patterns: list[str] = rules.PHONE_PATTERNS) -> Column:
-    return _guarded(text, r"(?U)\d{5}", _distinct_stripped(_ten_digits(find_all(text, patterns))))
+    return _guarded(text.rlike(r"(?U)\d{5}"), _distinct_stripped(_ten_digits(find_all(text, patterns))))
 
 
 def phone_mentions_wide(text: Column) -> Column:
     found = find_all(text, rules.PHONE_PATTERNS_WIDE)
-    return _guarded(text, r"(?U)\d{3}", _distinct_stripped(_ten_digits(found)))
+    return _guarded(text.rlike(r"(?U)\d{3}"), _distinct_stripped(_ten_digits(found)))
 
 
 def plate_mentions(text: Column, patterns: list[str] = rules.PLATE_PATTERNS) -> Column:
-    return _guarded(text, r"(?U)\d{4}", _distinct_stripped(find_all(text, patterns)))
+    return _guarded(text.rlike(r"(?U)\d{4}"), _distinct_stripped(find_all(text, patterns)))
 
 
 def plate_mentions_wide(text: Column) -> Column:
     found = find_all(text, rules.PLATE_PATTERNS_WIDE, "(?iU)")
-    return _guarded(text, r"(?U)\d", F.array_distinct(F.transform(found, lambda x: F.upper(strip(x)))))
+    return _guarded(text.rlike(r"(?U)\d"), F.array_distinct(F.transform(found, lambda x: F.upper(strip(x)))))
 
 
 def account_mentions(text: Column) -> Column:
     found = F.filter(_distinct_stripped(find_all(text, rules.ACCOUNT_PATTERNS, "(?iU)")), lambda x: F.length(x) >= 4)
-    return _guarded(text, r"(?U)\d{6}", found)
+    return _guarded(text.rlike(r"(?U)\d{6}"), found)
 
 
 def watch_list_mentions(text: Column, names: list[str] = rules.WATCH_LIST) -> Column:

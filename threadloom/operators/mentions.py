@@ -31,16 +31,14 @@ def pattern_mentions(docs: DataFrame, wide: bool = False) -> DataFrame:
     keep = [c for c in docs.columns if c != "text"]
     phones = tx.phone_mentions_wide(body) if wide else tx.phone_mentions(body)
     plates = tx.plate_mentions_wide(body) if wide else tx.plate_mentions(body)
-    found = docs.select(
-        *keep,
-        F.map_from_arrays(
-            F.array(F.lit("Phone"), F.lit("Vehicle"), F.lit("Organization")),
-            F.array(phones, plates, tx.watch_list_mentions(body)),
-        ).alias("found"),
-    )
-    return found.select(*keep, F.explode("found").alias("label", "values")).select(
-        *keep, "label", F.explode("values").alias("value")
+    found = F.concat(
+        _tagged("Phone", phones), _tagged("Vehicle", plates), _tagged("Organization", tx.watch_list_mentions(body))
     )
+    return docs.select(*keep, F.explode(found).alias("_m")).select(*keep, "_m.label", "_m.value")
+
+
+def _tagged(label: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(label).alias("label"), v.alias("value")))
 
 
 def dictionary(names: DataFrame) -> DataFrame:
