@@ -184,13 +184,13 @@ ENTRIES = {
         UNION ALL SELECT DISTINCT graph, src, dst, 'money' FROM (SELECT graph, src, dst, rel FROM all_edges UNION ALL SELECT graph, src, dst, rel FROM case_edges)
         WHERE rel = 'FINANCIAL_TRAIL'""", case_edges=CASE_EDGES)),
     "gr2": (gr2, query("SELECT graph, v, round(rank, 9) AS pagerank, it AS iterations, true AS converged FROM final_rank", **CALLS, **sb.PAGERANK)),
-    "gr3": (gr3, query("SELECT graph, v, round(betweenness, 9) AS betweenness FROM between", **CALLS, **sb.betweenness_ctes(6))),
-    "gr3_closest": (gr3_closest, query("SELECT graph, v, round(betweenness, 9) AS betweenness FROM between", **CLOSEST, **sb.betweenness_ctes(16))),
-    "gr4": (gr4, query(_players("subscribers"), **CALLS, **sb.PAGERANK, **sb.betweenness_ctes(6))),
+    "gr3": (gr3, query("SELECT graph, v, round(betweenness, 9) AS betweenness FROM between", **CALLS, **sb.betweenness_ctes(10))),
+    "gr3_closest": (gr3_closest, query("SELECT graph, v, round(betweenness, 9) AS betweenness FROM between", **CLOSEST, **{**sb.betweenness_ctes(0), **sb.SINGLE_WALK})),
+    "gr4": (gr4, query(_players("subscribers"), **CALLS, **sb.PAGERANK, **sb.betweenness_ctes(10))),
     "gr4_message": (gr4_message, query("""
         SELECT DISTINCT graph, CASE WHEN graph = 'view' THEN 'No person nodes with connections found yet.' END AS message FROM call_graph
         UNION ALL SELECT case_id, 'No graph data yet. Run ingestion first.' FROM cases""")),
-    "gr5": (gr5, query(_players("persons"), **ALL, **sb.PAGERANK, **sb.betweenness_ctes(6), persons=ALL_PERSONS)),
+    "gr5": (gr5, query(_players("persons"), **ALL, **sb.PAGERANK, **sb.betweenness_ctes(10), persons=ALL_PERSONS)),
     "gr6": (gr6, query("SELECT graph, array_to_string(cycle, ' > ') AS cycle, length FROM cyc", **sb.graph_ctes("main_flows"), **sb.cycle_ctes(None))),
     "gr6_short": (gr6_short, query("SELECT graph, array_to_string(cycle, ' > ') AS cycle, length FROM cyc", **sb.graph_ctes("nation_flows"), **sb.cycle_ctes(3))),
     "gr7": (gr7, query("SELECT graph, v, component FROM comp", **sb.graph_ctes("both_edges"), **sb.LABELS,
@@ -213,7 +213,7 @@ ENTRIES = {
     "gr12": (gr12, query(f"{CASE_PERSONS} UNION ALL {ALL_PERSONS}")),
     "gr13": (gr13, query(f"""
         SELECT graph, '#' || place AS position, name, format('{{:.4f}}', pagerank) AS pagerank, format('{{:.4f}}', betweenness) AS betweenness
-        FROM ({_players('subscribers')})""", **CALLS, **sb.PAGERANK, **sb.betweenness_ctes(6))),
+        FROM ({_players('subscribers')})""", **CALLS, **sb.PAGERANK, **sb.betweenness_ctes(10))),
     "str1": (str1, query("""
         SELECT case_id AS src_case, caller AS src_id, called AS dst_id, CAST(count(*) AS DOUBLE) AS confidence,
                max_by(ts_raw, row_no) AS last_timestamp, max_by(duration_raw, row_no) AS last_duration FROM calls GROUP BY ALL""")),

@@ -239,6 +239,15 @@ def betweenness_ctes(depth: int) -> dict[str, str]:
     return out
 
 
+# where every vertex has one way on, the walk from each source is its only path
+SINGLE_WALK = {
+    "walks": """
+        SELECT graph, v AS s, v, 0 AS d, [v] AS seen FROM gv
+        UNION ALL SELECT w.graph, w.s, e.dst, w.d + 1, list_append(w.seen, e.dst) FROM walks w
+        JOIN ge e ON e.graph = w.graph AND e.src = w.v WHERE NOT list_contains(w.seen, e.dst)""",
+    "reached": "SELECT graph, s, v, d, CAST(1 AS DOUBLE) AS paths FROM walks",
+}
+
 LABELS = {
     "lab": """
         SELECT 0 AS it, graph, v, v AS l, 1 AS moved FROM gv
