@@ -186,6 +186,10 @@ def resolve(mentions: DataFrame, known: DataFrame, pairs: DataFrame | None = Non
     trimmed = mentions.select("case_id", strip(F.col("name")).alias("name")).distinct()
     asked = with_mention_keys(trimmed, strict_initials)
     if pairs is None:
+        # distinct names are few next to their mentions: written once, read by every branch below
+        work = Workspace(mentions.sparkSession, "resolve")
+        asked = work.cut(asked, "asked")
+        known = work.cut(known.distinct(), "known")
         lows = asked.select("low").union(known.select(normalise_text(F.col("known"))))
         pairs = similar_names(lows, threshold)
     exact = known.select("case_id", F.col("known").alias("name")).distinct().withColumn("_exact", F.lit(True))

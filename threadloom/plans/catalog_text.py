@@ -9,6 +9,7 @@ from threadloom.operators import mentions as mn
 from threadloom.operators import relate as rl
 from threadloom.operators import resolve as rs
 from threadloom.operators import upsert as up
+from threadloom.operators.cutting import Workspace
 from threadloom.operators.ingest import ingest_reports
 from threadloom.plans.domain import Domain
 from threadloom.plans.sqlbase import query
@@ -26,7 +27,13 @@ def _values(docs, found):
 
 
 def _ingest(d: Domain):
-    return ingest_reports(d.reports, d.person_names, d.gazetteer)
+    """The reports of the data folder, stored with their mentions and entities."""
+    def build():
+        work = Workspace(d.spark, "reports")
+        return ingest_reports(
+            work.cut(d.reports, "reports"), work.cut(d.person_names, "names"), work.cut(d.gazetteer, "places"))
+
+    return d.stored("ingest", build)
 
 
 def _sql_list(patterns, flag=""):

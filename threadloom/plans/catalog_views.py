@@ -242,9 +242,11 @@ def edit10(d: Domain):
 
 def _chain(d: Domain):
     """The chain of all events, stored once."""
-    empty = d.spark.createDataFrame([], au.AUDIT)
-    rows = au.append(empty, d.audit_events, ["ts", "event_id"])
-    return Workspace(d.spark, "audit").cut(rows, "chain")
+    def build():
+        empty = d.spark.createDataFrame([], au.AUDIT)
+        return Workspace(d.spark, "audit").cut(au.append(empty, d.audit_events, ["ts", "event_id"]), "chain")
+
+    return d.stored("chain", build)
 
 
 def _tampered(d: Domain):

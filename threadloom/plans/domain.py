@@ -21,9 +21,20 @@ def title_case(name: str) -> Column:
 
 
 class Domain:
+    """Lazy domain tables of one data folder."""
+
+    _stored: dict[tuple[str, str, str], object] = {}
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def stored(self, name: str, build):
+        """What ``build`` stores for this folder, made once per application and then read."""
+        key = (self.spark.sparkContext.applicationId, self.root, name)
+        if key not in self._stored:
+            self._stored[key] = build()
+        return self._stored[key]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
