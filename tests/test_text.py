@@ -83,20 +83,26 @@ def test_line_count_is_splitlines(spark):
 
 def test_call_rows_headers_quotes_and_short_rows(spark):
     docs = spark.createDataFrame([
-        ("c", "1", 'From,To,Time,Duration\n"11,1",22,t1,5\n33,,t,6\n44,55,,7'),
+        ("c", "1", 'From,To,Time,Duration\n"11""1",22,t1,5\n33,,t,6\n44,55,,7'),
         ("c", "2", "11|22|t|5\n33|44|t|6"),
         ("c", "3", "called;caller\n1;2"),
         ("c", "4", "Only, prose here.\nNothing else"),
     ], "case_id string, doc_id string, text string")
     got = {(r.doc_id, r.caller, r.called, r.ts_raw, r.duration_raw) for r in dl.call_rows(docs).collect()}
     assert got == {
-        ("1", "11,1", "22", "t1", "5"), ("1", "44", "55", "", "7"),
+        ("1", '11"1', "22", "t1", "5"), ("1", "44", "55", "", "7"),
         ("2", "11", "22", "t", "5"), ("2", "33", "44", "t", "6"), ("3", "2", "1", None, None),
     }
     tables, prose = dl.route_documents(docs)
     assert tables.count() == 3 and [r.doc_id for r in prose.collect()] == ["4"]
 
 
+def test_quoted_cells(spark):
+    rows = ['a,"b,c",d', '"x ""y""",z', ',"",', 'plain,row']
+    got = column(spark, tabular.cells_of(F.col("text"), F.lit(",")), rows)
+    assert got == [["a", "b,c", "d"], ['x "y"', "z"], ["", "", ""], ["plain", "row"]]
+
+
 def test_aliases_are_tried_per_row(spark):
     table = spark.createDataFrame([(" ", "x", "9"), ("c", "y", "1,000")], "Caller_No string, source string, Total_Value string")
     assert [r.caller for r in dl.map_calls(table).orderBy("caller").collect()] == ["c", "x"]

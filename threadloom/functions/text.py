@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,9 +128,10 @@ def words(text: Column) -> Column:
 def has_trigger(sentence: Column, rel: str, whole_word: bool = False) -> Column:
     """Any trigger of ``rel`` inside the lower-cased sentence."""
     low = F.lower(sentence)
-    keys = F.array(*[F.lit(k) for k in rules.TRIGGERS[rel]])
     if whole_word:
-        return F.exists(keys, lambda k: low.rlike(F.concat(F.lit(r"(?U)(^|\W)\Q"), k, F.lit(r"\E(\W|$)"))))
+        either = "|".join(re.escape(k) for k in rules.TRIGGERS[rel])
+        return low.rlike(r"(?U)(^|\W)(" + either + r")(\W|$)")
+    keys = F.array(*[F.lit(k) for k in rules.TRIGGERS[rel]])
     return F.exists(keys, lambda k: F.contains(low, k))
 
 
