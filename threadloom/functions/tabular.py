@@ -51,9 +51,10 @@ def plain_delimiter_of(text: Column) -> Column:
 def cells_of(line: Column, delimiter: Column) -> Column:
     """Cells of one line; quoted cells may hold the delimiter and doubled quotes."""
     quoted = F.lit('"')
-    field = F.concat(F.lit(r'(?:^|\Q'), delimiter, F.lit(r'\E)("(?:[^"]|"")*"|(?:(?!\Q'), delimiter, F.lit(r"\E).)*)"))
+    # each cell is read together with the delimiter before it, the first one with an added one
+    field = F.concat(F.lit(r"\Q"), delimiter, F.lit(r'\E("(?:[^"]|"")*"|(?:(?!\Q'), delimiter, F.lit(r"\E).)*)"))
     parts = F.transform(
-        F.regexp_extract_all(line, field, F.lit(1)),
+        F.regexp_extract_all(F.concat(delimiter, line), field, F.lit(1)),
         lambda c: F.when(
             F.startswith(c, quoted) & F.endswith(c, quoted) & (F.length(c) >= 2),
             F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), quoted),
