@@ -11,6 +11,6 @@ from threadloom.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("4", "4g", "tests")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     yield session
     session.stop()

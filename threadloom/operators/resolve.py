@@ -246,10 +246,12 @@ def resolve_and_insert(spark: SparkSession, mentions: DataFrame, known: DataFram
             fresh = decided.filter("resolution_type = 'new'").select(
                 "case_id", F.col("canonical_name").alias("known"), F.lit(True).alias("is_new")
             )
-            stored = work.cut(stored.unionByName(fresh), "known")
+            before, stored = stored, work.cut(stored.unionByName(fresh), "known")
+            work.drop(before)
             done = decided if done is None else done.unionByName(decided)
             closed = decided.select("case_id", F.col("raw_name").alias("name"))
-            open_names = work.cut(open_names.join(closed, ["case_id", "name"], "left_anti"), "open")
+            before, open_names = open_names, work.cut(open_names.join(closed, ["case_id", "name"], "left_anti"), "open")
+            work.drop(before)
             if open_names.isEmpty():
                 break
     if done is None:
