@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import relationship_name, strip
 from threadloom.operators.network import components
-from threadloom.operators.upsert import add_edges, entity_rows, upsert_entities, with_both_ends
+from threadloom.operators.upsert import add_edges, entity_rows, upsert_entities
 from threadloom.schema import EDGE_COLUMNS, EDGE_KEY, LABELS, NODE_KEY
 
 # ---------------------------------------------------------------- validation
@@ -235,7 +235,3 @@ def missing_relationships(edges: DataFrame, edits: DataFrame) -> DataFrame:
     """Edge edits whose edge does not exist."""
     named = edits.withColumn("rel", relationship_name(F.col("rel")))
     return named.join(edges.select(*EDGE_KEY), EDGE_KEY, "left_anti")
-
-
-def sound_ends(edits: DataFrame, entities: DataFrame) -> DataFrame:
-    return with_both_ends(edits, entities)

@@ -19,7 +19,7 @@ EDGE_OUT = ["src_case", "src_label", "src_id", "rel", "dst_case", "dst_label", "
 
 
 def _homes(d: Domain):
-    """Cases whose region has an even chance of holding many: the first region."""
+    """The cases of one region."""
     return d.table("nation").filter("n_regionkey = 1").select(F.col("n_name").alias("case_id"))
 
 
@@ -49,7 +49,7 @@ def view3(d: Domain):
 
 
 def view6(d: Domain):
-    """The person with the most order lines in the first case."""
+    """The first buyer of the first case."""
     top = d.buyers.orderBy("case_id", "c_custkey").select("case_id", "c_name").first()
     audit = d.edges.filter("src_label = 'Person'").select(
         F.col("src_case").alias("case_id"), F.xxhash64("dst_id").alias("seq"), F.col("dst_id").alias("ts"), F.col("rel").alias("action"),
