@@ -84,11 +84,28 @@ def byte_classes(word: str | None = None, gap: bytes | None = None) -> np.ndarra
     return out
 
 
+_kept_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse modulo 2 ** 64; those of a usual slice are kept."""
+    global _kept_powers
+    if len(_kept_powers[0]) >= n:
+        return _kept_powers
+    pair = []
+    for base in (_PRIME, _INVERSE):
+        steps = np.full(max(n, SLICE_BYTES + 16), base, np.uint64)
+        steps[0] = 1
+        with np.errstate(over="ignore"):
+            pair.append(np.cumprod(steps))
+    if n <= SLICE_BYTES + 16:
+        _kept_powers = tuple(pair)
+    return tuple(pair)
+
+
 class Words:
     """Word starts, ends and 64-bit hashes of a slice of rows."""
 
-    _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
     def __init__(self, texts: pa.Array, classes: np.ndarray):
         data, self.ends = raw(texts)
         self.low = classes[data]
@@ -111,28 +128,13 @@ class Words:
         self.hash = self._hash()
 
     def _hash(self) -> np.ndarray:
-        power, inverse = self._power(len(self.low) + 1)
+        power, inverse = powers(len(self.low) + 1)
         total = np.zeros(len(self.low) + 1, np.uint64)
         with np.errstate(over="ignore"):
             np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * power[: len(self.low)], out=total[1:])
             value = (total[self.stop] - total[self.start]) * inverse[self.start]
         return mix(value)
 
-    @classmethod
-    def _power(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls._powers[0]) < n:
-            size = max(n, SLICE_BYTES + 16)
-            pair = []
-            for base in (_PRIME, _INVERSE):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                with np.errstate(over="ignore"):
-                    pair.append(np.cumprod(steps))
-            if n > SLICE_BYTES + 16:
-                return tuple(pair)  # of one very long text: not kept
-            cls._powers = tuple(pair)
-        return cls._powers
-
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Word index and hash of every run of ``k`` words inside one row."""
         n = len(self.hash) - k + 1

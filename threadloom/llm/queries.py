@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, oracle, packing, tokenfile
-from threadloom.llm.common import table
+from threadloom.llm import decontaminate, oracle, packing, quality, tokenfile, toxicity
+from threadloom.llm.common import remainder, table
 from threadloom.operators.cutting import Workspace
 
 
@@ -13,19 +14,37 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def _scored(docs: DataFrame, held_out, accept: float) -> DataFrame:
+    return docs.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 4) == 2
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _scored(quality.with_score(docs, model), held_out, quality.ACCEPT)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Workspace(spark, "token-files").path("set")
     tokenfile.write(table(spark, sf_dir, "documents"), folder)
     return tokenfile.read(spark, folder)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 3) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _scored(toxicity.with_score(docs, model), held_out, toxicity.ACCEPT)
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 ENTRIES = {
     "op1_decontaminate": (op1_decontaminate, oracle.OP1),
+    "op3_quality": (op3_quality, None),
     "op5_token_files": (op5_token_files, None),
+    "op7_toxicity": (op7_toxicity, None),
     "op9_pack": (op9_pack, None),
 }
 
