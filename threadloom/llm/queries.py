@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, oracle, packing, quality, tokenfile, toxicity
+from threadloom.llm import decontaminate, language, minhash, oracle, packing, quality, tokenfile, toxicity
 from threadloom.llm.common import remainder, table
 from threadloom.operators.cutting import Workspace
 
@@ -24,6 +24,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.with_score(docs, model), held_out, quality.ACCEPT)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Workspace(spark, "token-files").path("set")
     tokenfile.write(table(spark, sf_dir, "documents"), folder)
@@ -36,6 +41,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.with_score(docs, model), held_out, toxicity.ACCEPT)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 3) == 1
+    model = language.fit(docs, ~held_out)
+    found = language.with_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,8 +55,10 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES = {
     "op1_decontaminate": (op1_decontaminate, oracle.OP1),
     "op3_quality": (op3_quality, None),
+    "op4_near_duplicates": (op4_near_duplicates, None),
     "op5_token_files": (op5_token_files, None),
     "op7_toxicity": (op7_toxicity, None),
+    "op8_language": (op8_language, None),
     "op9_pack": (op9_pack, None),
 }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 
@@ -12,10 +13,15 @@ from threadloom.llm import common
 LENGTHS = (3, 4, 5)
 BUCKETS = 1 << 18
 
-_FIRST = np.array([chr(c).isalpha() for c in range(0x3000)])
 _STEP = np.uint64(0x100000001B3)
 
 
+@cache
+def _alphabet() -> np.ndarray:
+    """Which code points are letters."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
 class Letters:
     """Runs of letters in a list of texts, lower-cased: code points with every other character as a border (1)."""
 
@@ -23,7 +29,7 @@ class Letters:
         low = [t.lower() for t in texts]
         joined = "\n" + "".join(t + "\n" for t in low)
         points = np.frombuffer(joined.encode("utf-32-le", "replace"), "<u4")
-        letter = _FIRST[np.minimum(points, 0x2FFF)] | (points >= 0x3040)
+        letter = _alphabet()[points]
         self.code = np.where(letter, points, 1).astype(np.uint64)
         edge = np.diff(letter.astype(np.int8))
         self.start = np.flatnonzero(edge == 1) + 1
@@ -63,6 +69,18 @@ class Letters:
             count += np.maximum(own, 0)
         return total, count
 
+    def ngrams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, 64-bit hash) of every n-gram of one length, borders counted from length two on."""
+        h = self.code
+        with np.errstate(over="ignore"):
+            for j in range(1, n):
+                h = h[:-1] * _STEP + self.code[j:]
+        border = int(n > 1)
+        own = np.maximum(self.stop - self.start + 1 - n + 2 * border, 0)
+        word = np.repeat(np.arange(len(own)), own)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(own) - own, own) + (self.start - border)[word]
+        return word, common.mix(h[place] + np.uint64(n))
+
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """(word, bucket) of every n-gram of every word."""
         words, buckets = [], []
