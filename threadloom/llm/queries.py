@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, language, minhash, oracle, packing, quality, tokenfile, toxicity
+from threadloom.llm import decontaminate, fingerprints, html, language, minhash, oracle, packing, quality, tokenfile, toxicity
 from threadloom.llm.common import remainder, table
 from threadloom.operators.cutting import Workspace
 
@@ -14,6 +14,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def _scored(docs: DataFrame, held_out, accept: float) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
@@ -52,14 +56,20 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 ENTRIES = {
     "op1_decontaminate": (op1_decontaminate, oracle.OP1),
+    "op2_html": (op2_html, None),
     "op3_quality": (op3_quality, None),
     "op4_near_duplicates": (op4_near_duplicates, None),
     "op5_token_files": (op5_token_files, None),
     "op7_toxicity": (op7_toxicity, None),
     "op8_language": (op8_language, None),
     "op9_pack": (op9_pack, None),
+    "op10_fingerprints": (op10_fingerprints, None),
 }
 
 

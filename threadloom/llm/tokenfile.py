@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +28,6 @@ from threadloom.operators.cutting import Workspace
 BLOCK_IDS = 1 << 18
 #: Ids of a range of documents, which one task codes.
 RANGE_IDS = 1 << 23
-#: Cut points of doc_id; a range between two is split further by equal steps.
-CUTS = 1000
 
 COUNTS = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("n", T.LongType())])
 BLOCKS = T.StructType([
@@ -61,26 +59,6 @@ def frequencies(table: DataFrame) -> rans.Frequencies:
     return rans.Frequencies.of_counts(counts)
 
 
-def doc_ranges(table: DataFrame, per_range: int, weight: str | None = None) -> Column:
-    """A number that rises with doc_id; about ``per_range`` of the summed weight (or rows) share one."""
-    total = F.sum(weight) if weight else F.count(F.lit(1))
-    row = table.agg(
-        total.alias("total"), F.percentile_approx("doc_id", [i / CUTS for i in range(CUTS + 1)], 10 * CUTS).alias("cuts")).first()
-    ranges = max(1, -(-int(row["total"] or 0) // per_range))
-    points = sorted(set(row["cuts"] or []))
-    keep = points if ranges >= CUTS else [points[i * len(points) // ranges] for i in range(ranges) if points]
-    bounds = sorted(set(keep))
-    if not bounds:
-        return F.lit(-1).cast("long")
-    splits = max(1, -(-ranges // CUTS))
-    edges = F.array(*[F.lit(b).cast("long") for b in [*bounds, max(points[-1], bounds[-1]) + 1]])
-    place = F.greatest(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))), F.lit(1))
-    place = F.least(place, F.lit(len(bounds)))
-    low, high = F.element_at(edges, place), F.element_at(edges, place + 1)
-    step = F.least(F.greatest(F.floor((F.col("doc_id") - low) * splits / (high - low)), F.lit(0)), F.lit(splits - 1))
-    return F.coalesce((place.cast("long") * splits + step).cast("long"), F.lit(-1).cast("long"))
-
-
 def _encode(table) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares = table.value
@@ -121,7 +99,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None) -> None:
     table = tokens.token_table(docs, work, vocabulary)
     shares = frequencies(table)
     spark.createDataFrame([(bytearray(shares.tobytes()),)], "shares binary").write.parquet(f"{folder}/frequencies")
-    ranged = table.withColumn("range", doc_ranges(table, RANGE_IDS, "n_tokens"))
+    ranged = table.withColumn("range", common.doc_ranges(table, RANGE_IDS, "n_tokens"))
     totals = ranged.groupBy("range").agg(F.sum("n_tokens").alias("total"))
     tokens.starts(totals, "range").write.parquet(f"{folder}/ranges")
     ordered = ranged.select("range", "doc_id", "ids").repartition("range").sortWithinPartitions("range", "doc_id", "ids")
