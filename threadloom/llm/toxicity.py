@@ -175,11 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column) -> Model | None:
     counts = {int(r["toxic"]): r["count"] for r in marks.groupBy("toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return None
-    marks = marks.withColumnRenamed("doc_id", "labelled_id")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body")).join(
-        marks, F.col("doc_id") == F.col("labelled_id"))
     share = F.when(F.col("toxic") == 1, F.lit(TOXIC / counts[1])).otherwise(F.lit(CLEAN / counts[0]))
-    picked = texts.filter(F.pmod(F.xxhash64("doc_id", "body"), F.lit(1 << 20)) < share * (1 << 20))
+    drawn = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).withColumnRenamed("doc_id", "labelled_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    picked = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id"))  # about TOXIC + CLEAN ids
     sample = picked.select("toxic", "body").toPandas().sort_values("body", kind="stable")
     toxic = sample["toxic"].to_numpy() == 1
     if toxic.all() or not toxic.any():
