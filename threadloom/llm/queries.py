@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, fingerprints, html, language, minhash, oracle, packing, quality, tokenfile, toxicity
+from threadloom.llm import decontaminate, fingerprints, html, language, minhash, oracle, packing, pii, quality, tokenfile, toxicity
 from threadloom.llm.common import remainder, table
 from threadloom.operators.cutting import Workspace
 
@@ -39,6 +39,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, folder)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 3) == 1
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -66,6 +70,7 @@ ENTRIES = {
     "op3_quality": (op3_quality, None),
     "op4_near_duplicates": (op4_near_duplicates, None),
     "op5_token_files": (op5_token_files, None),
+    "op6_pii": (op6_pii, None),
     "op7_toxicity": (op7_toxicity, None),
     "op8_language": (op8_language, None),
     "op9_pack": (op9_pack, None),
