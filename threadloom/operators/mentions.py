@@ -9,9 +9,10 @@ from threadloom.functions import text as tx
 
 
 def submitted_text(reports: DataFrame) -> DataFrame:
-    """Per case and batch: the narrative followed by the call text, as one text."""
+    """Per case and batch: all narratives followed by all call texts, as one text."""
     def part(kind: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("doc_kind") == kind, F.col("text"))), F.lit(""))
+        texts = F.array_sort(F.collect_list(F.when(F.col("doc_kind") == kind, F.col("text"))))
+        return F.array_join(texts, " \n ")
 
     return reports.groupBy("case_id", "doc_id").agg(
         F.concat(part("fir"), F.lit(" \n "), part("cdr")).alias("text")
@@ -49,11 +50,11 @@ def dictionary(names: DataFrame) -> DataFrame:
     ).drop("_words")
 
 
-def dictionary_mentions(sentences: DataFrame, names: DataFrame, capitalised: bool = True) -> DataFrame:
+def dictionary_mentions(sentences: DataFrame, names: DataFrame, capitalised: bool = False) -> DataFrame:
     """Dictionary names in each sentence, by an equi-join on word runs.
 
-    Only run lengths that occur in the dictionary are generated, and with ``capitalised`` only
-    runs that start with an upper-case letter. The optimizer broadcasts the dictionary when its
+    Only run lengths that occur in the dictionary are generated; scripts and spellings of any case
+    count, unless ``capitalised`` asks for an upper-case start. The optimizer broadcasts the dictionary when its
     measured size allows and shuffles both sides otherwise. Tag columns of the dictionary (such
     as a label) come along.
     """

@@ -24,6 +24,8 @@ SENTENCE_RULES = [
     ("CAMERA_LOG", "Vehicle", "Location", False),
 ]
 SENTENCE_KEY = ["case_id", "doc_id", "sent_no"]
+# first characters by which values without a number are looked for
+WORD_KEY = 8
 
 
 def fired_triggers(sentence: Column, whole_word: bool = False) -> Column:
@@ -34,10 +36,6 @@ def fired_triggers(sentence: Column, whole_word: bool = False) -> Column:
     return F.array_compact(F.array(*flags))
 
 
-def triggered_sentences(sentences: DataFrame, rel: str, whole_word: bool = False) -> DataFrame:
-    return sentences.filter(tx.has_trigger(F.col("sentence"), rel, whole_word))
-
-
 def _windows(run: Column, size: int) -> Column:
     return F.when(
         F.length(run) >= size,
@@ -48,32 +46,36 @@ def _windows(run: Column, size: int) -> Column:
 def sentences_holding(sentences: DataFrame, values: DataFrame) -> DataFrame:
     """Which stored values of the same case occur in a sentence as substrings.
 
-    ``values`` is (case_id, label, value). A value with four or more digits in a row can only
-    occur where the same digits do, so sentences and values meet on digit windows; the few other
-    values meet on four-character windows. Every hit is confirmed on the full value.
+    ``values`` is (case_id, label, value). A value with four or more digits in a row occurs only
+    where its whole longest run of digits does; the few other values meet on their first
+    characters. Only windows of lengths that values have are made, the sentence text stays
+    behind, and every candidate is confirmed on the full value.
     """
-    digits5 = F.regexp_extract("value", r"(?U)\d{5}", 0)
-    digits4 = F.regexp_extract("value", r"(?U)\d{4}", 0)
-    keyed = values.distinct().withColumn(
-        "_sig", F.coalesce(F.nullif(digits5, F.lit("")), F.nullif(digits4, F.lit("")))
-    )
+    runs = F.regexp_extract_all("value", F.lit(r"(?U)\d{4,}"), F.lit(0))
+    longest = F.element_at(F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("n"), r.alias("run")))), 1)["run"]
+    keyed = values.filter("value <> ''").distinct().withColumn("_run", F.when(F.size(runs) > 0, longest))
     text = F.col("sentence")
-    digit_runs = F.regexp_extract_all(text, F.lit(r"(?U)\d{4,}"), F.lit(0))
-    digit_keys = F.array_distinct(
-        F.flatten(F.transform(digit_runs, lambda r: F.concat(_windows(r, 4), _windows(r, 5))))
-    )
-    by_digits = sentences.filter(text.rlike(r"(?U)\d{4}")).withColumn("_sig", F.explode(digit_keys)).join(
-        keyed.filter("_sig IS NOT NULL"), ["case_id", "_sig"]
-    )
-    wordy = keyed.filter("_sig IS NULL AND value <> ''").withColumn("_sig", F.left("value", F.lit(4)))
-    found = by_digits
-    if not wordy.isEmpty():
-        sizes = [r[0] for r in wordy.select(F.length("_sig")).distinct().collect()]
-        gram_keys = F.array_distinct(F.concat(*[_windows(text, n) for n in sorted(sizes)]))
-        found = found.unionByName(
-            sentences.withColumn("_sig", F.explode(gram_keys)).join(wordy, ["case_id", "_sig"])
-        )
-    return found.filter(F.contains(text, F.col("value"))).select(*SENTENCE_KEY, "label", "value").distinct()
+    digits = F.regexp_extract_all(text, F.lit(r"(?U)\d{4,}"), F.lit(0))
+    by_digits = keyed.filter("_run IS NOT NULL").withColumnRenamed("_run", "_sig")
+    wordy = keyed.filter("_run IS NULL").drop("_run").withColumn("_sig", F.left("value", F.lit(WORD_KEY)))
+    made = [
+        _signed(sentences.filter(text.rlike(r"(?U)\d{4}")), by_digits,
+                lambda n: F.flatten(F.transform(digits, lambda run: _windows(run, n)))),
+        _signed(sentences, wordy, lambda n: _windows(text, n)),
+    ]
+    found = made[0].unionByName(made[1]).distinct()
+    return found.join(sentences, SENTENCE_KEY).filter(F.contains(text, F.col("value"))).select(
+        *SENTENCE_KEY, "label", "value"
+    ).distinct()
+
+
+def _signed(sentences: DataFrame, keyed: DataFrame, windows) -> DataFrame:
+    """Sentence keys and values that share ``_sig``; windows that no value has go before the shuffle."""
+    sizes = sorted(r[0] for r in keyed.select(F.length("_sig")).distinct().collect())
+    keys = F.array_distinct(F.concat(F.array().cast("array<string>"), *[windows(n) for n in sizes]))
+    marked = sentences.select(*SENTENCE_KEY, F.explode(keys).alias("_sig"))
+    marked = marked.join(keyed.select("_sig").distinct(), "_sig", "left_semi")
+    return marked.join(keyed, ["case_id", "_sig"]).select(*SENTENCE_KEY, "label", "value")
 
 
 def present_people(named: DataFrame, known: DataFrame) -> DataFrame:

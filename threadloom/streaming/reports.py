@@ -14,7 +14,7 @@ from threadloom.operators.upsert import upsert_entities
 class ReportStream:
     """Entities and partial edges per batch under one root."""
 
-    def __init__(self, spark: SparkSession, root: str, names: DataFrame, gazetteer: DataFrame, fold_aliases: bool = False):
+    def __init__(self, spark: SparkSession, root: str, names: DataFrame, gazetteer: DataFrame, fold_aliases: bool = True):
         self.spark, self.root = spark, root.rstrip("/")
         self.names, self.gazetteer, self.fold_aliases = names, gazetteer, fold_aliases
 
