@@ -5,9 +5,12 @@ and documents that share a band are candidates:
 
 1. every bucket links its members to its smallest one (linear in the bucket), and components are formed;
 2. buckets whose members still lie in different components are searched for the pairs that step one did not try,
-   leaving out pairs inside the bucket's largest component, which need no further link.
+   leaving out pairs inside one component, which need no further link. Pairs of small buckets are made as rows; a
+   bucket of more than ``SMALL`` members is dealt to pairs of tiles of at most about ``TILE`` members, and a task
+   counts the intersections of a tile pair by matrix products and returns a spanning forest of its links, so that a
+   large group of texts just under the threshold costs comparisons but no rows.
 
-A candidate pair is compared a batch of signature values at a time and dropped as soon as the posterior chance that
+A candidate pair made as a row is compared a batch of signature values at a time and dropped as soon as the posterior chance that
 its similarity reaches the threshold falls under ``MISS``; survivors are confirmed on their full shingle sets, so
 every link reported is exact. With 40 bands of 5 rows a pair at similarity 0.8 misses all bands with chance 1.3e-7.
 
@@ -42,6 +45,8 @@ BATCH = 25
 MISS = 1e-6
 #: Lowest bits of the first signature values, compared before a pair is made at all.
 BITS = 128
+#: Members up to which a bucket's pairs are made as rows, and about how many a tile of a larger one has.
+SMALL, TILE = 16, 192
 
 CLASSES = common.byte_classes(gap=b" \t\n\v\f\r")
 _DRAWN = np.random.default_rng(20).integers(1, 1 << 63, (2, HASHES), dtype=np.uint64)
@@ -203,9 +208,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
     side = lambda name: reps.select(F.col("rep").alias(name), F.col("signature").alias(f"sig_{name}"))
     likely = work.cut(
         pairs.join(side("a"), "a").join(side("b"), "b").filter(_survives(percent)("sig_a", "sig_b")).select("a", "b"), "likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, F.col("id") == F.col("wanted"), "left_semi")
-    full = work.cut(texts.select("id", _sets(k)("text").alias("items")), "sets")
+    full = _full_sets(likely.select(F.explode(F.array("a", "b")).alias("wanted")), docs, k, work)
     own = lambda name: full.select(F.col("id").alias(name), F.col("items").alias(f"set_{name}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - both
@@ -213,6 +216,72 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
     return links.select("a", "b").distinct()
 
 
+def _full_sets(ids: DataFrame, docs: DataFrame, k: int, work: Workspace) -> DataFrame:
+    """(id, items): shingle sets of the documents named in the one column of ``ids``."""
+    wanted = ids.toDF("wanted").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, F.col("id") == F.col("wanted"), "left_semi")
+    return work.cut(texts.select("id", _sets(k)("text").alias("items")), "sets")
+
+
+LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def _tile_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        rep, comp, tile = (table.column(c).to_numpy() for c in ("rep", "comp", "tile"))
+        left, right = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        items = table.column("items").combine_chunks()
+        ends = np.asarray(items.offsets, np.int64)
+        own = np.repeat(np.arange(len(rep)), np.diff(ends))
+        known, element, times = np.unique(np.asarray(items.flatten()), return_inverse=True, return_counts=True)
+        shared = times[element] > 1
+        place = np.cumsum(times > 1) - 1
+        row, column = own[shared], place[element[shared]]
+        both = np.zeros((len(rep), len(rep)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        width = 4096
+        cuts = np.searchsorted(column, np.arange(0, int(column[-1]) + width + 1, width)) if len(column) else np.zeros(1, np.int64)
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                part = np.zeros((len(rep), width), np.float32)
+                part[row[a:b], column[a:b] % width] = 1
+                both += part @ part.T
+        n = np.diff(ends)
+        reached = both * 100 >= (n[:, None] + n[None, :] - both) * percent
+        reached &= comp[:, None] != comp[None, :]
+        if left != right:
+            reached &= tile[:, None] != tile[None, :]
+        top = {c: c for c in comp.tolist()}
+
+        def find(x):
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(reached, 1))):
+            x, y = find(int(comp[i])), find(int(comp[j]))
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
+def _tiled_links(rest: DataFrame, docs: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame:
+    """Links that join components of large buckets; rows are (key, rep, comp, size)."""
+    full = _full_sets(rest.select("rep"), docs, k, work)
+    tiles = F.ceil(F.col("size") / TILE).cast("long")
+    rows = rest.select("key", "rep", "comp", tiles.alias("tiles")).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    rows = rows.select("key", "rep", "comp", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+    held = rows.join(full, F.col("rep") == F.col("id")).drop("id")
+    return held.groupBy("key", "low", "high").applyInArrow(_tile_links(percent), LINKS).distinct()
+
+
 def _grouped(links: DataFrame) -> DataFrame:
     named = components(links.select(F.lit(0).alias("graph"), F.col("a").alias("src"), F.col("b").alias("dst")))
     return named.select(F.col("v").alias("rep"), F.col("component").alias("comp"))
@@ -222,7 +291,7 @@ def _grouped(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id, component_id, kept, n_links (of its class)."""
+    """One row per document: doc_id, n_shingles, class_id, component_id, kept."""
     work = Workspace(docs.sparkSession, "minhash")
     sketch = work.cut(sketches(docs, k), "sketches")
     known = sketch.filter("n > 0 and doc_id is not null")
@@ -239,20 +308,19 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     groups = work.cut(_grouped(links), "groups")
 
     placed = hot.join(groups, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-    mixed = parts.groupBy("key").agg(F.max_by("comp", "size").alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").drop("comps")
-    rest = work.cut(placed.join(mixed, "key").filter("rep <> leader"), "open")
-    second = rest.filter("comp <> top").alias("l").join(rest.alias("r"), (
-        (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp"))
-        & ((F.col("r.comp") == F.col("r.top")) | (F.col("l.rep") < F.col("r.rep"))) & _may_match("l", "r", percent)))
-    more = work.cut(confirmed(second.select(
-        F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b")).distinct(), reps, docs, k, percent, work), "more-links")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size")).filter(
+        "least < most").drop("least", "most")
+    rest = work.cut(placed.join(mixed, "key"), "open")
+    small = rest.filter((F.col("size") <= SMALL) & (F.col("rep") != F.col("leader")))
+    second = small.alias("l").join(small.alias("r"), (
+        (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & (F.col("l.rep") < F.col("r.rep")) & _may_match("l", "r", percent)))
+    more = confirmed(second.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct(), reps, docs, k, percent, work)
+    more = work.cut(more.unionByName(_tiled_links(rest.filter(F.col("size") > SMALL), docs, k, percent, work)), "more-links")
     if not more.isEmpty():
         links = links.unionByName(more)
         groups = work.cut(_grouped(links), "final-groups")
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = reps.select("key_a", "key_b", "rep").join(groups, "rep", "left").join(degree, "rep", "left")
+    classes = reps.select("key_a", "key_b", "rep").join(groups, "rep", "left")
     rows = sketch.drop("signature").join(
         classes.withColumnsRenamed({"key_a": "own_a", "key_b": "own_b"}),
         (F.col("n") > 0) & F.col("doc_id").isNotNull() & (F.col("key_a") == F.col("own_a")) & (F.col("key_b") == F.col("own_b")), "left")
@@ -261,7 +329,6 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
