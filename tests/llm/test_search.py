@@ -28,7 +28,7 @@ def test_decontamination_equals_sql_and_brute_force(spark):
     kept = decontaminate.remove_documents(docs, items)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 4
     cut = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, items).collect()}
-    assert item.upper().split()[5] not in cut[100] and cut[100].endswith(" tail") and cut[1] is None
+    assert item.upper() in texts[0] and " ".join(item.upper().split()[2:8]) not in cut[100] and cut[100].endswith(" tail") and cut[1] is None
     assert decontaminate.scan(cases.empty(spark), items).count() == 0
     assert decontaminate.report(decontaminate.scan(docs, items.limit(0))).filter("contaminated").count() == 0
 
@@ -100,7 +100,7 @@ def base_spans(text):
 
 def test_personal_data_base_and_bootstrap(spark):
     odd = "a@b.c_d@e.f x@y.z.,1.2.3.4.5 001.02.3.4 256.1.1.1 4111 1111 1111 1111 4111-1111-1111-11111 +1 (234) 567-8901. ++12345678901 é😀 a@b.co"
-    seeds = [f"reach host 10.{i}.3.4 now" for i in range(20, 32)]
+    seeds = [f"reach host 10.{i}.3.4 now" for i in range(120, 132)]
     docs = cases.documents(spark, [odd, "1" * 3000 + "@" + "+1" * 500, *seeds, "reach host 99.999.3.4 now", "other 99.999.3.4x text"])
     rows = {(r.doc_id, r.text or "") for r in docs.collect()}
     text = dict(rows)

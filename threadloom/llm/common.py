@@ -56,7 +56,7 @@ def doc_ranges(table: DataFrame, per_range: int, weight: str | None = None) -> C
     place = F.least(place, F.lit(len(bounds)))
     low, high = F.element_at(edges, place), F.element_at(edges, place + 1)
     step = F.least(F.greatest(F.floor((F.col("doc_id") - low) * splits / (high - low)), F.lit(0)), F.lit(splits - 1))
-    return F.coalesce((place.cast("long") * splits + step).cast("long"), F.lit(-1).cast("long"))
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place.cast("long") * splits + step).cast("long")
 
 
 # ---------------------------------------------------------------- Arrow text

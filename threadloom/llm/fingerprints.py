@@ -75,25 +75,19 @@ def likeness(left: str, right: str, floor: float = 0.0) -> Column:
 # ---------------------------------------------------------------- next document
 
 
-def with_next(docs: DataFrame, columns: list[str], rows_per_range: int = RANGE_ROWS) -> DataFrame:
-    """Adds next_<column> of the document that follows in doc_id order; after the last comes the first.
-
-    Rows are dealt to ranges of ids and ordered there; the last row of a range takes the first of the next range.
-    """
-    order = [F.col("doc_id").asc_nulls_first(), F.col(columns[0])]
+def dealt_with_heads(docs: DataFrame, work: Workspace, rows_per_range: int = RANGE_ROWS) -> DataFrame:
+    """Rows of (doc_id, text) with ``range`` and ``head``: every row in its range of ids, and once more the first row of
+    each range, as the head that follows the range before; the first range's head follows the last range."""
     ranged = docs.withColumn("range", common.doc_ranges(docs, rows_per_range))
-    inside = Window.partitionBy("range").orderBy(*order)
-    ids = ranged.groupBy("range").agg(F.min("doc_id").alias("first_id"))
     every = Window.orderBy("range")
     last = F.max("range").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = ids.select(F.coalesce(F.lag("range").over(every), last).alias("before"), F.col("range").alias("head_range"), "first_id")
-    rows = ranged.alias("d").join(heads.alias("h"), (F.col("d.range") == F.col("h.head_range")) & F.col("d.doc_id").eqNullSafe(F.col("h.first_id")))
-    first = rows.groupBy("h.before").agg(F.min_by(F.struct(*[F.col(f"d.{c}") for c in columns]), F.col(f"d.{columns[0]}")).alias("head"))
-    out = ranged.withColumns({f"next_{c}": F.lead(c).over(inside) for c in columns})
-    out = out.withColumn("is_last", F.lead(F.lit(1)).over(inside).isNull())
-    out = out.join(first, F.when(F.col("is_last"), F.col("range")) == F.col("before"), "left")
-    return out.withColumns({f"next_{c}": F.when(F.col("is_last"), F.col("head")[c]).otherwise(F.col(f"next_{c}")) for c in columns}).drop(
-        "range", "is_last", "before", "head")
+    ids = ranged.groupBy("range").agg(F.min("doc_id").alias("first_id"))
+    firsts = work.cut(ids.select(
+        F.coalesce(F.lag("range").over(every), last).alias("before"), F.col("range").alias("head_range"), "first_id"), "firsts")
+    heads = ranged.join(firsts, (F.col("range") == F.col("head_range")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    heads = heads.withColumn("place", F.row_number().over(Window.partitionBy("head_range").orderBy("text"))).filter("place = 1")
+    return ranged.withColumn("head", F.lit(False)).unionByName(
+        heads.select("doc_id", "text", F.col("before").alias("range"), F.lit(True).alias("head")))
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -102,7 +96,9 @@ def edited(docs: DataFrame) -> DataFrame:
     The edited text ends in the beginning of the next document: a quarter of its own length, or all of it.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(with_signatures(own, "text", "spots"), ["text", "spots"])
+    rows = with_signatures(dealt_with_heads(own, Workspace(docs.sparkSession, "fingerprints")), "text", "spots")
+    inside = Window.partitionBy("range").orderBy("head", F.col("doc_id").asc_nulls_first(), "text")
+    pairs = rows.withColumns({f"next_{c}": F.lead(c).over(inside) for c in ("text", "spots")}).filter("NOT head").drop("range", "head")
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     changed = pairs.withColumn(
