@@ -7,14 +7,12 @@ import os
 import sys
 import time
 
-from threadloom.operators.ingest import ingest_reports
 from threadloom.plans import registry
-from threadloom.plans.domain import Domain
 from threadloom.session import local_session
 
 HEADLINE = [
     "ext1", "ext10", "ext12", "ext17", "fmt1", "src3", "rel11", "rel13", "res4", "res8", "res9", "view5", "view10", "view20",
-    "edit2", "edit4", "aud2", "aud4", "snk2", "gr2", "gr6", "gr7", "gr8", "str1",
+    "edit2", "edit4", "aud2", "aud4", "snk2", "gr2", "gr6", "gr7", "gr8", "str1", "rel8",
 ]
 
 
@@ -37,9 +35,6 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()
     for name in HEADLINE:
         timed(name, lambda: drain(run[name](spark, root)))
-    if os.environ.get("BENCH_INGEST"):
-        domain = Domain(spark, root)
-        timed("ingest", lambda: drain(ingest_reports(domain.reports, domain.person_names, domain.gazetteer).edges()))
     total = round(sum(times.values()), 3)
     print(json.dumps({
         "metric": "total_seconds", "value": total, "unit": "sec", "queries": times,

@@ -163,6 +163,65 @@ def test_store_replaces_only_given_cases(spark, tmp_path):
     assert {(r.case_id, r.id) for r in store.read("entities").collect()} == {("a", "9"), ("b", "2")}
 
 
+def test_store_forgets_emptied_cases(spark, tmp_path):
+    store = CaseStore(spark, str(tmp_path / "store"))
+    many = [(f"c{i}", str(i)) for i in range(200)]
+    store.append("entities", people(spark, many))
+    gone = spark.createDataFrame([("c0",), ("c7",)], "case_id string")
+    store.replace_cases("entities", people(spark, [("c1", "new")]), gone)
+    want = {(c, i) for c, i in many if c not in ("c0", "c1", "c7")} | {("c1", "new")}
+    assert {(r.case_id, r.id) for r in store.read("entities").collect()} == want
+    single = CaseStore(spark, str(tmp_path / "single"))
+    single.append("entities", people(spark, [("k", "1")]))
+    single.replace_cases("entities", people(spark, [("k", "1")]).limit(0), spark.createDataFrame([("k",)], "case_id string"))
+    assert single.read("entities").count() == 0
+
+
+def one_at_a_time(ids, edges, steps):
+    """Edits replayed singly: steps are (from, to, is_rename)."""
+    for src, dst, rename in steps:
+        if src == dst or src not in ids or not (rename or dst in ids):
+            continue
+        merge, after = dst in ids, {}
+        for (a, rel, b), n in edges.items():
+            if src not in (a, b):
+                after[a, rel, b] = after.get((a, rel, b), 0) + n
+        for (a, rel, b), n in edges.items():
+            if src in (a, b):
+                x, y = (dst if a == src else a), (dst if b == src else b)
+                if not (merge and x == y):
+                    after[x, rel, y] = after.get((x, rel, y), 0) + n
+        ids, edges = (ids - {src}) | {dst}, after
+    return ids, edges
+
+
+def test_edit_batches_equal_one_edit_at_a_time(spark):
+    draw = random.Random(5)
+    cases = {}
+    for case in range(25):
+        ids = set("abcdefg")
+        edges = {(a, draw.choice("RS"), b): float(draw.randint(1, 9)) for a, b in [draw.sample(sorted(ids), 2) for _ in range(9)]}
+        rename = case % 2 == 0
+        steps = [(draw.choice("abcdefg"), draw.choice("abcdefgXY"), rename) for _ in range(5)]
+        cases[f"c{case}"] = (ids, edges, steps, rename)
+    ents = people(spark, [(c, i) for c, (ids, *_) in cases.items() for i in ids])
+    table = edge_table(spark, [(c, a, r, c, b, n) for c, (_, edges, *_) in cases.items() for (a, r, b), n in edges.items()])
+    for rename, names in ((True, ["old_id", "new_id"]), (False, ["merge_id", "keep_id"])):
+        own = {c: x for c, x in cases.items() if x[3] == rename}
+        edits = spark.createDataFrame([(c, "Person", i, a, b) for c, (_, _, steps, _) in own.items() for i, (a, b, _) in enumerate(steps)],
+                                      f"case_id string, label string, ord long, {names[0]} string, {names[1]} string")
+        act = ed.rename_entities if rename else ed.merge_entities
+        left, moved = act(ents, table, edits)
+        got_ids, got_edges = {(r.case_id, r.id) for r in left.collect()}, {}
+        for r in moved.collect():
+            assert (r.src_case, r.src_id, r.rel, r.dst_id) not in got_edges
+            got_edges[r.src_case, r.src_id, r.rel, r.dst_id] = r.confidence
+        for c, (ids, edges, steps, _) in own.items():
+            want_ids, want_edges = one_at_a_time(set(ids), dict(edges), steps)
+            assert {i for k, i in got_ids if k == c} == want_ids, (c, steps)
+            assert {k[1:]: n for k, n in got_edges.items() if k[0] == c} == want_edges, (c, steps)
+
+
 def test_clear_and_delete_cases(spark):
     tables = {"entities": people(spark, [("a", "1"), ("b", "2")]), "edges": edge_table(spark, [("b", "2", "R", "a", "1", 1.0), ("b", "2", "R", "b", "2", 1.0)]),
               "audit": spark.createDataFrame([("a",), ("b",)], "case_id string"), "cases": spark.createDataFrame([("a",), ("b",)], "case_id string")}

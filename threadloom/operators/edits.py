@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.functions.text import relationship_name, strip
+from threadloom.operators.cutting import Workspace
 from threadloom.operators.network import components
 from threadloom.operators.upsert import add_edges, entity_rows, upsert_entities
 from threadloom.schema import EDGE_COLUMNS, EDGE_KEY, LABELS, NODE_KEY
@@ -94,23 +97,84 @@ def _mapped_ends(edges: DataFrame, mapping: DataFrame, out: list[str]) -> DataFr
     return edges
 
 
+NODE_MOVES = T.StructType([
+    *[T.StructField(c, T.StringType()) for c in ("case_id", "label", "id", "final_id")],
+    T.StructField("merged", T.BooleanType()), T.StructField("via", T.ArrayType(T.StringType())),
+])
+
+
+def _moves_of_group(edits: pd.DataFrame) -> pd.DataFrame:
+    """Final place of every id that the edits of one case and label touch, one edit after another."""
+    holders: dict[str, list[str]] = {}
+    for name, there in [*zip(edits["src"], edits["src_there"]), *zip(edits["dst"], edits["dst_there"])]:
+        if there:
+            holders[name] = [name]
+    via: dict[str, list[str]] = {}
+    merged: set[str] = set()
+    for row in edits.sort_values(["ord", "src", "dst"], kind="stable").itertuples():
+        if row.src == row.dst or row.src not in holders or (not row.rename and row.dst not in holders):
+            continue
+        moved = holders.pop(row.src)
+        if row.dst in holders:
+            merged.update(moved)
+            for name in moved:
+                via.setdefault(name, []).append(row.dst)
+        holders.setdefault(row.dst, []).extend(moved)
+    place = {name: final for final, names in holders.items() for name in names}
+    rows = [(name, final, name in merged, via.get(name, [])) for name, final in place.items() if name != final or name in merged]
+    out = pd.DataFrame(rows, columns=["id", "final_id", "merged", "via"])
+    return out.assign(case_id=edits["case_id"].iloc[0], label=edits["label"].iloc[0])[["case_id", "label", "id", "final_id", "merged", "via"]]
+
+
+def node_moves(edits: DataFrame, entities: DataFrame) -> DataFrame:
+    """Where a sequence of renames and merges leaves each stored id.
+
+    Edits are (case_id, label, src, dst, rename) and, for their order, ``ord``; without it they
+    run by id. A rename onto an id that exists at its turn is a merge; an edit whose ids do not
+    exist at its turn does nothing. The edits of one case and label are one sequence by
+    definition, so a task replays them; only ids that edits name go there.
+    """
+    ordered = edits if "ord" in edits.columns else edits.withColumn("ord", F.lit(0).cast("long"))
+    named = _exists(ordered.filter(_known_label("label")), entities, ["case_id", "label", "src"], "src_there")
+    named = _exists(named, entities, ["case_id", "label", "dst"], "dst_there")
+    return named.select("case_id", "label", "ord", "src", "dst", "rename", "src_there", "dst_there").groupBy("case_id", "label").applyInPandas(
+        _moves_of_group, NODE_MOVES)
+
+
+def _moved_graph(entities: DataFrame, edges: DataFrame, moves: DataFrame, keep_cross_case: bool) -> tuple[DataFrame, DataFrame]:
+    """Entities and edges after ``moves``; rows that no move touches pass by without a join on their content."""
+    moves = Workspace(entities.sparkSession, "edits").cut(moves, "moves")
+    stays = entities.join(moves.filter("merged").select(*NODE_KEY), NODE_KEY, "left_anti").join(
+        moves.filter("NOT merged").select(*NODE_KEY, "final_id"), NODE_KEY, "left")
+    renamed = stays.select(
+        "case_id", "label", F.coalesce("final_id", "id").alias("id"), F.coalesce("final_id", "value").alias("value"), "source", "props")
+    ends = _mapped_ends(edges, moves, ["final_id", "merged", "via"])
+    new_src, new_dst = F.coalesce("src_final_id", "src_id"), F.coalesce("dst_final_id", "dst_id")
+    folded = F.coalesce("src_merged", F.lit(False)) | F.coalesce("dst_merged", F.lit(False))
+    ends = ends.withColumns({"_src": new_src, "_dst": new_dst, "_folded": folded})
+    placed = [F.col(c) for c in ("src_case", "src_label")] + [F.col("_src").alias("src_id"), F.col("rel")] + [
+        F.col(c) for c in ("dst_case", "dst_label")] + [F.col("_dst").alias("dst_id")]
+    plain = ["source_sentence", "last_timestamp", "last_duration"]
+    kept = ends.filter("NOT _folded").select(*placed, "confidence", *plain)
+    met = lambda via, *ids: F.exists(F.coalesce(via, F.array().cast("array<string>")), lambda v: v.isin(*[F.col(i) for i in ids]))
+    onto_itself = (F.col("src_label") == F.col("dst_label")) & (F.col("_src") == F.col("_dst"))
+    same_id = (F.col("src_label") != F.col("dst_label")) & (met(F.col("src_via"), "dst_id", "_dst") | met(F.col("dst_via"), "src_id", "_src"))
+    moved = ends.filter("_folded").filter(~onto_itself & ~same_id)
+    if not keep_cross_case:
+        moved = moved.filter("src_case = dst_case")
+    moved = moved.select(
+        *placed, F.coalesce("confidence", F.lit(1.0)).alias("confidence"), *[F.lit(None).cast("string").alias(c) for c in plain])
+    return renamed, _sum_moved(kept.select(*EDGE_COLUMNS), moved.select(*EDGE_COLUMNS))
+
+
 def rename_entities(entities: DataFrame, edges: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Renames (case_id, label, old_id, new_id); where the new id exists, the two are merged."""
-    checked = sound(check_renamed(edits, entities)).filter("old_id <> new_id")
-    merges = checked.filter("clash").select(
-        "case_id", "label", F.col("new_id").alias("keep_id"), F.col("old_id").alias("merge_id")
-    )
-    entities, edges = merge_entities(entities, edges, merges)
-    mapping = checked.filter("NOT clash").select("case_id", "label", F.col("old_id").alias("id"), "new_id")
-    renamed = entities.join(mapping, NODE_KEY, "left").select(
-        "case_id", "label", F.coalesce("new_id", "id").alias("id"), F.coalesce("new_id", "value").alias("value"),
-        "source", "props",
-    )
-    moved = _mapped_ends(edges, mapping, ["new_id"])
-    moved = moved.withColumn("src_id", F.coalesce("src_new_id", "src_id")).withColumn(
-        "dst_id", F.coalesce("dst_new_id", "dst_id")
-    )
-    return renamed, moved.select(*EDGE_COLUMNS)
+    """Renames (case_id, label, old_id, new_id, and ``ord`` if the order matters), one after another.
+
+    Where the new id exists by then, the two are merged.
+    """
+    order = ["ord"] if "ord" in edits.columns else []
+    steps = edits.select("case_id", "label", *order, F.col("old_id").alias("src"), strip(F.col("new_id")).alias("dst"), F.lit(True).alias("rename"))
+    return _moved_graph(entities, edges, node_moves(steps.filter("dst <> ''"), entities), False)
 
 
 def collapse_merges(merges: DataFrame) -> DataFrame:
@@ -130,36 +194,19 @@ def collapse_merges(merges: DataFrame) -> DataFrame:
     ).select("case_id", "label", "keep_id", "merge_id")
 
 
-def merge_entities(entities: DataFrame, edges: DataFrame, merges: DataFrame, keep_cross_case: bool = False,
-                   collapse: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Merges (case_id, label, keep_id, merge_id), each merged id once.
+def merge_entities(entities: DataFrame, edges: DataFrame, merges: DataFrame,
+                   keep_cross_case: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Merges (case_id, label, keep_id, merge_id, and ``ord`` if the order matters), one after another.
 
     Same-case edges of the merged node move to the kept one and their confidences add up (a
-    missing kept one counts 0, a missing moved one 1); a neighbour whose id equals the kept id
-    is dropped whatever its label; cross-case edges are lost unless ``keep_cross_case``; only
-    the edges that were there before keep their descriptive properties. With ``collapse``,
-    chains of merges are first followed to their end.
+    missing kept one counts 0, a missing moved one 1); a neighbour whose id equals a kept id
+    on the way is dropped whatever its label; cross-case edges are lost unless
+    ``keep_cross_case``; only the edges that were there before keep their descriptive properties.
+    A merge of an id that is gone by then, or into one, does nothing.
     """
-    valid = sound(check_merged(merges, entities))
-    if collapse:
-        valid = collapse_merges(valid)
-    mapping = valid.select("case_id", "label", F.col("merge_id").alias("id"), "keep_id")
-    ends = _mapped_ends(edges, mapping, ["keep_id"])
-    touched = F.col("src_keep_id").isNotNull() | F.col("dst_keep_id").isNotNull()
-    moved = ends.filter(touched)
-    if not keep_cross_case:
-        moved = moved.filter("src_case = dst_case")
-    new_src, new_dst = F.coalesce("src_keep_id", "src_id"), F.coalesce("dst_keep_id", "dst_id")
-    moved = moved.filter(new_src != new_dst)
-    moved = moved.select(
-        "src_case", "src_label", new_src.alias("src_id"), "rel", "dst_case", "dst_label", new_dst.alias("dst_id"),
-        F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.lit(None).cast("string").alias("source_sentence"),
-        F.lit(None).cast("string").alias("last_timestamp"), F.lit(None).cast("string").alias("last_duration"),
-    )
-    return (
-        entities.join(mapping.select(*NODE_KEY), NODE_KEY, "left_anti"),
-        _sum_moved(ends.filter(~touched).select(*EDGE_COLUMNS), moved),
-    )
+    order = ["ord"] if "ord" in merges.columns else []
+    steps = merges.select("case_id", "label", *order, F.col("merge_id").alias("src"), F.col("keep_id").alias("dst"), F.lit(False).alias("rename"))
+    return _moved_graph(entities, edges, node_moves(steps, entities), keep_cross_case)
 
 
 def _sum_moved(kept: DataFrame, moved: DataFrame) -> DataFrame:
@@ -229,9 +276,3 @@ def rename_relationships(edges: DataFrame, edits: DataFrame) -> DataFrame:
 def delete_relationships(edges: DataFrame, edits: DataFrame) -> DataFrame:
     named = edits.withColumn("rel", relationship_name(F.col("rel"))).select(*EDGE_KEY)
     return edges.join(named, EDGE_KEY, "left_anti").select(*EDGE_COLUMNS)
-
-
-def missing_relationships(edges: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edge edits whose edge does not exist."""
-    named = edits.withColumn("rel", relationship_name(F.col("rel")))
-    return named.join(edges.select(*EDGE_KEY), EDGE_KEY, "left_anti")
