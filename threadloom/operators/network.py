@@ -126,9 +126,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         around = _both_ways(stars)
         mins = around.groupBy("graph", "u").agg(F.min("w").alias("m"))
-        large = around.filter("w > u").join(mins, ["graph", "u"]).select(
+        large = work.cut(around.filter("w > u").join(mins, ["graph", "u"]).select(
             "graph", F.col("w").alias("u"), F.least("u", "m").alias("w")
-        ).distinct()
+        ).distinct(), "large")
         lows = large.groupBy("graph", "u").agg(F.min("w").alias("m"))
         small = large.join(lows, ["graph", "u"]).filter("w <> m").select(
             "graph", F.col("w").alias("u"), F.col("m").alias("w")
@@ -139,6 +139,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         previous, stars = stars, work.cut(after, "stars")
         work.drop(previous)
+        work.drop(large)
         now = (state.get["n"], state.get["h"])
         if now == seen:
             break

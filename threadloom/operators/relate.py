@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom import rules
 from threadloom.functions import text as tx
 from threadloom.operators import resolve as rs
-from threadloom.operators.upsert import accumulate, latest
+from threadloom.operators.upsert import accumulate, entity_rows, latest
 from threadloom.schema import EDGE_COLUMNS, EDGE_KEY
 
 # (relationship, source label, target label, trigger needed)
@@ -212,3 +212,18 @@ def narrative_transfers(docs: DataFrame) -> DataFrame:
         F.get("placed", F.lit(1))["account"].alias("dst_id"),
         F.lit("TRANSFERRED_TO").alias("rel"), F.lit(0.75).alias("confidence"),
     )
+
+
+# ---------------------------------------------------------------- nodes of records
+
+
+def call_entities(calls: DataFrame) -> DataFrame:
+    """The phones of call rows as entity rows; without them the call edges have no ends."""
+    numbers = calls.select("case_id", F.explode(F.array("caller", "called")).alias("id")).filter("id <> ''").distinct()
+    return entity_rows(numbers.withColumn("label", F.lit("Phone")), "tabular_cdr")
+
+
+def transfer_entities(transactions: DataFrame) -> DataFrame:
+    """The accounts of transfer rows as entity rows, those of rows without a counterpart too."""
+    accounts = transactions.select("case_id", F.explode(F.array("from_account", "to_account")).alias("id")).filter("id <> ''").distinct()
+    return entity_rows(accounts.withColumn("label", F.lit("BankAccount")), "financial_csv")

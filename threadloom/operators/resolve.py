@@ -337,18 +337,21 @@ def exact_links(entities: DataFrame, case_ids=None) -> DataFrame:
     )
 
 
-def person_links(entities: DataFrame, case_ids=None, threshold: float = rules.CROSS_CASE_THRESHOLD) -> DataFrame:
-    """Likely same person in two cases, the smaller (case_id, id) first."""
+def person_links(entities: DataFrame, case_ids=None, threshold: float = rules.CROSS_CASE_THRESHOLD,
+                 same_spelling: bool = True) -> DataFrame:
+    """Likely same person in two cases, the smaller (case_id, id) first; ``same_spelling`` adds equal names."""
     persons = in_cases(entities, case_ids).filter(
         (F.col("label") == "Person") & F.col("case_id").isNotNull()
     ).select("case_id", "id", normalise_text(F.col("id")).alias("low")).filter("low <> ''").distinct()
     node = F.struct("case_id", "id")
-    same = tiled_pairs(persons.withColumn("node", node), ["low"], "node").withColumn("score", F.lit(100.0))
     pairs = similar_names(persons.select("low"), threshold)
     a = persons.select(node.alias("node_a"), F.col("low").alias("low_a"))
     b = persons.select(node.alias("node_b"), F.col("low").alias("low_b"))
     near = pairs.join(a, "low_a").join(b, "low_b").filter(F.col("node_a") < F.col("node_b"))
-    both = same.select("node_a", "node_b", "score").unionByName(near.select("node_a", "node_b", "score"))
+    both = near.select("node_a", "node_b", "score")
+    if same_spelling:
+        same = tiled_pairs(persons.withColumn("node", node), ["low"], "node").withColumn("score", F.lit(100.0))
+        both = same.select("node_a", "node_b", "score").unionByName(both)
     return both.filter(F.col("node_a.case_id") != F.col("node_b.case_id")).select(
         F.lit("Person").alias("type"),
         F.col("node_a.case_id").alias("case_a"), F.col("node_a.id").alias("id_a"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.operators.resolve import cross_case_links
+from threadloom.functions.text import normalise_text
+from threadloom.operators.resolve import EXACT_LABELS, cross_case_links, person_links
 from threadloom.rules import RELATIONSHIP_CATALOGUE
 from threadloom.schema import LABELS, NODE_KEY
 
@@ -313,6 +314,28 @@ def case_analysis_edges(edges: DataFrame, identity: str = "id") -> DataFrame:
     )
 
 
+def all_component_edges(edges: DataFrame, entities: DataFrame, threshold: float = 85.0) -> DataFrame:
+    """Edges (graph, src, dst) with the components of ``all_analysis_edges``, linear in the entities.
+
+    All holders of a shared value, or of one spelling of a name, are linked to the smallest of
+    them; names that are near each other are linked through those.
+    """
+    stored = edges.filter("src_case IS NOT NULL AND dst_case IS NOT NULL").select(
+        _key("src_case", "src_id").alias("src"), _key("dst_case", "dst_id").alias("dst"))
+    held = entities.filter(F.col("case_id").isNotNull()).select(
+        "case_id", "label", "id", _key("case_id", "id").alias("v"), normalise_text(F.col("id")).alias("low"))
+    value = F.when(F.col("label").isin(EXACT_LABELS), F.col("id")).when((F.col("label") == "Person") & (F.col("low") != ""), F.col("low"))
+    held = held.withColumn("value", value).filter("value IS NOT NULL")
+    smallest = held.groupBy("label", "value").agg(
+        F.min("v").alias("least"), F.min("case_id").alias("first_case"), F.max("case_id").alias("last_case"))
+    # two spellings within one case alone are not linked: only values of two cases make links
+    shared = smallest.filter("first_case < last_case")
+    stars = held.join(shared, ["label", "value"]).filter("v <> least").select(F.col("v").alias("src"), F.col("least").alias("dst"))
+    near = person_links(entities, threshold=threshold, same_spelling=False).select(
+        _key("case_a", "id_a").alias("src"), _key("case_b", "id_b").alias("dst"))
+    return stored.unionByName(stars).unionByName(near).select(F.lit("all").alias("graph"), "src", "dst")
+
+
 def all_analysis_edges(edges: DataFrame, entities: DataFrame, identity: str = "id", threshold: float = 85.0) -> DataFrame:
     """Stored edges of all cases plus virtual links, as one graph named 'all'."""
     both = edges.filter("src_case IS NOT NULL AND dst_case IS NOT NULL")

@@ -293,6 +293,19 @@ ENTRIES = {
         query("""
             SELECT case_id AS src_case, caller AS src_id, 'CALL_MADE' AS rel, called AS dst_id,
                    max_by(ts_raw, row_no) AS last_timestamp, max_by(duration_raw, row_no) AS last_duration FROM calls GROUP BY ALL""")),
+    "rel11_nodes": (
+        lambda d: rl.call_entities(d.calls).select("case_id", "label", "id", "value", "source"),
+        query("""
+            SELECT DISTINCT case_id, 'Phone' AS label, id, id AS value, 'tabular_cdr' AS source
+            FROM (SELECT case_id, unnest([caller, called]) AS id FROM calls) WHERE id <> ''""")),
+    "rel11_stored": (
+        lambda d: up.with_both_ends(rl.intercepted_calls(d.calls), rl.call_entities(d.calls)).select("src_case", "src_id", "dst_id", "confidence"),
+        query("SELECT case_id AS src_case, caller AS src_id, called AS dst_id, CAST(count(*) AS DOUBLE) AS confidence FROM calls GROUP BY ALL")),
+    "rel13_nodes": (
+        lambda d: rl.transfer_entities(d.transactions).select("case_id", "label", "id", "value", "source"), """
+            SELECT DISTINCT o_orderpriority AS case_id, 'BankAccount' AS label, id, id AS value, 'financial_csv' AS source
+            FROM (SELECT o_orderpriority, unnest(['C' || o_custkey, CASE WHEN l_returnflag <> 'R' THEN 'S' || l_suppkey END]) AS id
+                  FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE id IS NOT NULL"""),
     "rel13": (
         lambda d: rl.transferred_to(d.transactions).select("src_case", "src_id", "dst_id", "amount", "currency", "last_timestamp", "description"),
         """

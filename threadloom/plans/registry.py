@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.plans.domain import Domain
-from threadloom.session import tune
 
 
 def entries() -> dict:
@@ -20,7 +19,6 @@ def entries() -> dict:
 def spark_queries() -> dict:
     def bind(run):
         def call(spark: SparkSession, sf_dir: str) -> DataFrame:
-            tune(spark)
             return run(Domain(spark, sf_dir))
 
         return call

@@ -37,13 +37,6 @@ def local_session(cpus: str = "8", memory: str = "12g", name: str = "threadloom"
     return session
 
 
-def tune(spark: SparkSession) -> None:
-    """Set the partition-size floor on a foreign session that has not set its own."""
-    key = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
-    if spark.sparkContext.getConf().get(key) is None and spark.conf.get(key) in ("1MB", "1048576b"):
-        spark.conf.set(key, DEFAULTS[key])
-
-
 def shared_root(spark: SparkSession) -> str:
     """Folder for lineage cuts: the one the session names, or a temporary one in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
