@@ -10,7 +10,8 @@ from threadloom.operators import relate as rl
 from threadloom.operators import resolve as rs
 from threadloom.operators import upsert as up
 from threadloom.operators.cutting import Workspace
-from threadloom.operators.ingest import ingest_reports
+from threadloom import schema
+from threadloom.operators.ingest import ingest_reports, submit
 from threadloom.plans.domain import Domain
 from threadloom.plans.sqlbase import query
 from threadloom.rules import ACCOUNT_PATTERNS, DATE_PATTERNS, PERSON_STOP_WORDS, PHONE_PATTERNS_WIDE, PLACE_NOISE, PLATE_PATTERNS_WIDE
@@ -143,6 +144,29 @@ def rel8(d: Domain):
         F.count(F.lit(1)).alias("edge_count"), F.sum("confidence").alias("sightings"))
 
 
+def _submitted(d: Domain):
+    """All reports as narratives and all calls as tables of lines, submitted to a store that holds other rows."""
+    line = F.concat_ws(",", "caller", "called", "ts_raw", "duration_raw")
+    tables = d.calls.groupBy("case_id", F.pmod("row_no", F.lit(8)).cast("string").alias("doc_id")).agg(
+        F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text")).withColumn("doc_kind", F.lit("cdr"))
+    reports = d.reports.select("case_id", "doc_id", "text").withColumn("doc_kind", F.lit("fir"))
+    rows = tables.unionByName(reports).withColumn("append", F.col("case_id") == "view")
+    old = d.spark.createDataFrame([("view", "Phone", "0"), ("other", "Phone", "0")], "case_id string, label string, id string")
+    entities = up.entity_rows(old, "manual")
+    none = lambda shape: d.spark.createDataFrame([], shape)
+    stored = {"entities": entities, "edges": none(schema.EDGES), "audit": none(schema.AUDIT)}
+    return submit(rows, d.person_names, d.gazetteer, stored, F.lit("2024-01-01T00:00:00"))
+
+
+def ingest(d: Domain):
+    """Summed confidence of edges and number of audited relationships, per case and relationship."""
+    done = _submitted(d)
+    edges = done["edges"].groupBy(F.col("src_case").alias("case_id"), "rel").agg(F.sum("confidence").alias("n")).withColumn("kind", F.lit("edge"))
+    logged = done["audit"].filter("action = 'ADD_RELATIONSHIP'").groupBy(
+        "case_id", F.get_json_object("details", "$.type").alias("rel")).agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("kind", F.lit("audit"))
+    return edges.unionByName(logged)
+
+
 def rel9(d: Domain):
     return _ingest(d).present
 
@@ -293,6 +317,10 @@ ENTRIES = {
         query("""
             SELECT case_id AS src_case, caller AS src_id, 'CALL_MADE' AS rel, called AS dst_id,
                    max_by(ts_raw, row_no) AS last_timestamp, max_by(duration_raw, row_no) AS last_duration FROM calls GROUP BY ALL""")),
+    "ingest": (ingest, query("""
+        SELECT case_id, rel, n, kind FROM (
+            SELECT case_id, rel, CAST(count(*) AS DOUBLE) AS n FROM sightings GROUP BY ALL
+            UNION ALL SELECT case_id, 'INTERCEPTED_CALL', CAST(count(*) AS DOUBLE) FROM calls GROUP BY ALL), (SELECT unnest(['edge', 'audit']) AS kind)""")),
     "rel11_nodes": (
         lambda d: rl.call_entities(d.calls).select("case_id", "label", "id", "value", "source"),
         query("""
