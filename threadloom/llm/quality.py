@@ -150,8 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None =
     ones = int(known["ones"] or 0)
     if not ones or not n_rows:
         return None
-    good = marks.filter("quality = 1").select(F.col("doc_id").alias("labelled_id"))
-    picked = sampled(rows.join(good, F.col("doc_id") == F.col("labelled_id"), "left_semi"), ones, POSITIVES)
+    good = marks.filter("quality = 1").filter(train)
+    drawn = good.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, POSITIVES / ones)))
+    drawn = drawn.select(F.col("doc_id").alias("labelled_id"))
+    picked = rows.join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled_id"), "left_semi")  # about POSITIVES ids
     collect = lambda df: np.array([r[0] for r in df.select(_measured("text")).collect()], np.float32)
     positive, unlabelled = collect(picked), collect(sampled(rows, n_rows, UNLABELLED))
     if not len(positive) or not len(unlabelled):
