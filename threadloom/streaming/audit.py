@@ -32,6 +32,9 @@ class AuditStream:
         columns = [f.name for f in schema.AUDIT.fields]
         last = before.unionByName(rows).groupBy("case_id").agg(F.max_by(F.struct(*columns), "seq").alias("r"))
         last.select("r.*").write.mode("overwrite").parquet(f"{self.root}/tips/batch={number}")
+        # the tips before this batch stay for a repeat of it; older ones are never read again
+        old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/tips/batch={number - 2}")
+        old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
 
     def start(self, events: DataFrame, checkpoint: str, **options) -> StreamingQuery:
         writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(self._save)

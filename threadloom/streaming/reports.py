@@ -1,4 +1,4 @@
-"""Incremental report ingest: each micro-batch resolves against what is stored and adds to it."""
+"""Incremental report ingest: each micro-batch resolves against what is stored for its cases and adds to it."""
 
 from __future__ import annotations
 
@@ -18,14 +18,14 @@ class ReportStream:
         self.spark, self.root = spark, root.rstrip("/")
         self.names, self.gazetteer, self.fold_aliases = names, gazetteer, fold_aliases
 
-    def _before(self, number: int) -> DataFrame:
-        """Entities stored by earlier batches; a repeated batch does not see its own rows."""
-        stored = self.spark.read.parquet(f"{self.root}/entities")
-        return stored.filter(F.col("batch") < number).drop("batch")
+    def _before(self, number: int, docs: DataFrame) -> DataFrame:
+        """Entities that earlier batches stored for the cases of this one; a repeated batch does not see its own rows."""
+        stored = self.spark.read.parquet(f"{self.root}/entities").filter(F.col("batch") < number).drop("batch")
+        return stored.join(docs.select("case_id").distinct(), "case_id", "left_semi")
 
     def _save(self, batch: DataFrame, number: int) -> None:
-        stored = self._before(number) if number > 0 else None
         docs = batch.select("case_id", "doc_id", "text")
+        stored = self._before(number, docs) if number > 0 else None
         done = ingest_reports(docs, self.names, self.gazetteer, stored, self.fold_aliases)
         fresh = done.entities
         if stored is not None:
