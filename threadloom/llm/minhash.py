@@ -47,6 +47,8 @@ MISS = 1e-6
 BITS = 128
 #: Members up to which a bucket's pairs are made as rows, and about how many a tile of a larger one has.
 SMALL, TILE = 16, 192
+#: Bits of the filter that comes before a join on candidate ids.
+FILTER_BITS = 1 << 21
 
 CLASSES = common.byte_classes(gap=b" \t\n\v\f\r")
 _DRAWN = np.random.default_rng(20).integers(1, 1 << 63, (2, HASHES), dtype=np.uint64)
@@ -216,10 +218,32 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
     return links.select("a", "b").distinct()
 
 
+def _maybe_in(ids: DataFrame, name: str):
+    """Filter that keeps every row whose id is in ``ids`` and few others, so that the join after it moves few texts.
+
+    A bitmap of fixed size (FILTER_BITS, 512 kB) over a hash of the ids; what it lets pass is joined exactly.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
+    words = ids.select(slot(name).alias("slot")).groupBy((F.col("slot") / 32).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, slot % 32)")).alias("bits")).collect()
+    bitmap = np.zeros(FILTER_BITS // 32, np.int64)
+    for row in words:
+        bitmap[row["word"]] = row["bits"]
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf(T.BooleanType())
+    def held(slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at // 32] >> (at % 32)) & 1 == 1)
+
+    return lambda c: held(F.coalesce(slot(c), F.lit(0)))
+
+
 def _full_sets(ids: DataFrame, docs: DataFrame, k: int, work: Workspace) -> DataFrame:
     """(id, items): shingle sets of the documents named in the one column of ``ids``."""
-    wanted = ids.toDF("wanted").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, F.col("id") == F.col("wanted"), "left_semi")
+    wanted = work.cut(ids.toDF("wanted").distinct(), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(_maybe_in(wanted, "wanted")("id"))
+    texts = texts.join(wanted, F.col("id") == F.col("wanted"), "left_semi")
     return work.cut(texts.select("id", _sets(k)("text").alias("items")), "sets")
 
 
@@ -290,13 +314,33 @@ def _grouped(links: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- operator
 
 
+class _Tables(Workspace):
+    """A workspace that can delete its tables by tag."""
+
+    def __init__(self, spark, name: str):
+        super().__init__(spark, name)
+        self.held: dict[str, list[DataFrame]] = {}
+
+    def cut(self, df: DataFrame, tag: str) -> DataFrame:
+        table = super().cut(df, tag)
+        self.held.setdefault(tag, []).append(table)
+        return table
+
+    def drop_all(self, *tags: str) -> None:
+        for tag in tags:
+            for table in self.held.pop(tag, []):
+                self.drop(table)
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id, component_id, kept."""
-    work = Workspace(docs.sparkSession, "minhash")
+    work = _Tables(docs.sparkSession, "minhash")
     sketch = work.cut(sketches(docs, k), "sketches")
     known = sketch.filter("n > 0 and doc_id is not null")
     reps = work.cut(known.groupBy("key_a", "key_b").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature")), "representatives")
+    members = work.cut(sketch.drop("signature"), "members")
+    work.drop(sketch)
     bands = banded(reps)
     shared = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
     hot = work.cut(bands.join(shared, "key"), "buckets")
@@ -306,6 +350,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
                                     & _may_match("l", "r", percent))
     links = work.cut(confirmed(first.select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct(), reps, docs, k, percent, work), "links")
     groups = work.cut(_grouped(links), "groups")
+    work.drop_all("likely", "sets", "wanted")
 
     placed = hot.join(groups, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("size")).filter(
@@ -320,8 +365,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
         links = links.unionByName(more)
         groups = work.cut(_grouped(links), "final-groups")
 
-    classes = reps.select("key_a", "key_b", "rep").join(groups, "rep", "left")
-    rows = sketch.drop("signature").join(
+    classes = work.cut(reps.select("key_a", "key_b", "rep").join(groups, "rep", "left"), "class-components")
+    work.drop_all("likely", "sets", "wanted", "buckets", "open", "links", "more-links", "groups", "final-groups", "representatives")
+    rows = members.join(
         classes.withColumnsRenamed({"key_a": "own_a", "key_b": "own_b"}),
         (F.col("n") > 0) & F.col("doc_id").isNotNull() & (F.col("key_a") == F.col("own_a")) & (F.col("key_b") == F.col("own_b")), "left")
     component = F.coalesce("comp", "rep", "doc_id")
