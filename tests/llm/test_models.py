@@ -66,6 +66,20 @@ def test_language_word_first_then_ngrams(spark):
     assert language.fit(cases.empty(spark), F.lit(True)) is None
 
 
+def test_small_languages_are_learned_from_a_skewed_table(spark, monkeypatch):
+    monkeypatch.setattr(language, "ROWS", 200)
+    monkeypatch.setattr(language, "WORDS", 40)
+    monkeypatch.setattr(language, "NGRAMS", 60)
+    draw = np.random.default_rng(4)
+    large = ["".join(draw.choice(list("aeklmt"), 6)) for _ in range(300)]
+    rows = [(i, " ".join(draw.choice(large, 20)), "aa") for i in range(6000)]
+    rows += [(9000 + i, "plux grux wrok plux strok wrok grux strok", "bb") for i in range(2)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.languages == ["aa", "bb"] and len(model.keys[0]) <= 40 and all(len(k) <= 60 for k in model.keys[1:])
+    best, _ = model.predict(["wrok plux strok", "gruxwrok", *(t for _, t, _ in rows[:50])])
+    assert [model.languages[i] for i in best] == ["bb", "bb"] + ["aa"] * 50
+
+
 PAGE = """<html><head><title>t</title><script>if (a < b) { "</p>" }</script></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></li></ul></nav>
 <article><h1>Head &amp; shoulders</h1><p><b>First  line,
 with a break.<br>And more of it.<p>Second one. {n}</article><div class="ad">Buy this.</div><footer>&copy; us</footer></body></html>"""

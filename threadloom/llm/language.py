@@ -2,9 +2,10 @@
 
 Known words add their log frequency per language. A word never seen falls back to the longest of its character
 n-grams (five down to one, word borders included) of which any is known, and adds the mean log frequency of those.
-Frequencies are counted by Spark over a bounded sample of rows with a language; the tables a task holds are bounded
-too (``WORDS``, ``NGRAMS``), the most frequent entries stay, and what falls out of the word table is what the n-grams
-are for. Every row is predicted from its whole text.
+Languages are those of all rows; frequencies are counted by Spark over a bounded sample, drawn per language: all rows
+of a language below the quota, a hash sample of a larger one. The tables a task holds are bounded too (``WORDS``,
+``NGRAMS``); each language has its own share of them, in which its most frequent entries stay, and what falls out of
+the word table is what the n-grams are for. Every row is predicted from its whole text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every text where no language
 could be learned; ties go to the language that sorts first; rows that repeat are predicted alike; an empty table
@@ -13,7 +14,7 @@ gives no rows; extra columns are kept by ``with_language``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,9 +25,9 @@ from pyspark.sql import types as T
 
 from threadloom.llm import common, subwords
 
-#: Bound of the sample that frequencies are counted on, in rows.
-ROWS = 20_000
-#: Bounds of the tables, in distinct words and in distinct n-grams of each length; entries seen once are left out.
+#: Bound of the sample that frequencies are counted on, in rows over all languages, and the least quota of a language.
+ROWS, LEAST_ROWS = 20_000, 100
+#: Bounds of the tables over all languages, in distinct words and in distinct n-grams of each length; entries seen once are left out.
 WORDS, NGRAMS = 200_000, 50_000
 LONGEST = 5
 SMOOTH = 0.2
@@ -94,27 +95,47 @@ class Model:
         return np.where(words > 0, best, -1), np.where(words > 0, chance, 0.0)
 
 
+def quota_of(sizes: Iterable[int], bound: int) -> int:
+    """The largest quota with which groups of these sizes, each cut to it, have at most ``bound`` rows together."""
+    left, rest = bound, sorted(sizes)
+    for i, n in enumerate(rest):
+        if n * (len(rest) - i) > left:
+            return left // (len(rest) - i)
+        left -= n
+    return bound
+
+
 def fit(docs: DataFrame, rows: Column) -> Model | None:
     """Learn from text and lang of the rows that ``rows`` chooses."""
     known = docs.select("doc_id", "text", "lang").filter(rows).filter("lang is not null and text is not null")
-    total = known.count()
-    if total > ROWS:
-        known = known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int((1 << 20) * ROWS / total))
+    rows_of = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    languages = sorted(rows_of)
+    if not languages:
+        return None
+    quota = max(quota_of(rows_of.values(), ROWS), LEAST_ROWS)
+    shares = [F.lit(x) for name, n in rows_of.items() if n > quota for x in (name, quota / n)]
+    if shares:
+        share = F.coalesce(F.create_map(*shares)[F.col("lang")], F.lit(1.0))
+        known = known.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < share * (1 << 40))
     counts = known.select("text", "lang").mapInArrow(_count, COUNTS)
     spread = counts.groupBy("size", "key", "language").agg(F.sum("n").alias("n"))
     table = spread.groupBy("size", "key").agg(F.collect_list(F.struct("language", "n")).alias("by"), F.sum("n").alias("n")).filter("n > 1")
     table = table.persist()
-    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
-    if not languages:
-        return None
+    entries = table.select("size", F.explode("by.language").alias("language")).groupBy("size", "language").count().collect()
     place = {name: i for i, name in enumerate(languages)}
     keys, weights = [], []
     for size in range(LONGEST + 1):
-        rows_of = table.filter(F.col("size") == size).orderBy(F.desc("n"), "key").limit(NGRAMS if size else WORDS).select("key", "by").collect()
-        key = np.array([r["key"] for r in rows_of], np.int64).view(np.uint64)
-        n = np.zeros((len(rows_of), len(languages)))
-        for i, r in enumerate(rows_of):
-            for x in r["by"]:
+        have = {r["language"]: r["count"] for r in entries if r["size"] == size}
+        quota = max(quota_of(have.values(), NGRAMS if size else WORDS), 1)
+        kept = {}
+        for name in have:
+            own = table.filter(F.col("size") == size).select("key", "by", F.get(F.filter("by", lambda x: x["language"] == name), F.lit(0))["n"].alias("own"))
+            top = own.filter("own is not null").orderBy(F.desc("own"), "key").limit(quota).select("key", "by").collect()
+            kept.update((r["key"], r["by"]) for r in top)
+        key = np.array(list(kept), np.int64).view(np.uint64)
+        n = np.zeros((len(kept), len(languages)))
+        for i, by in enumerate(kept.values()):
+            for x in by:
                 n[i, place[x["language"]]] = x["n"]
         order = np.argsort(key)
         keys.append(key[order])
