@@ -91,6 +91,17 @@ def test_blocks_follow_the_markup():
     assert html.blocks("") == [] and [b.text for b in html.blocks("a < b &lt; c <p")] == ["a < b < c <p"]
 
 
+def test_code_in_silent_tags_does_not_swallow_the_page():
+    codes = ["<script>for(i=0;i<n;i++){f(i)}</script>", "<SCRIPT>var c = '<!--';</Script >", "<style>a:before{content:'<b \"'}</style>",
+             "<head><script>if(i<n){'</head>'}</script><!-- </head> --><title>a <b \"</title></head>", "<noscript><p>on<style>x<y'</style></noscript>",
+             "<script>'</scripted>'; i<n;</script\n>", "<svg><title>c <d '</title><path/></svg>", "<textarea><p <!-- </textarea>"]
+    for code in codes:
+        texts = [b.text for b in html.blocks(f"<p>Before.{code}<p>After.<p>Last.")]
+        assert texts == ["Before.", "After.", "Last."], code
+    assert [b.text for b in html.blocks("<head><!-- </head> --><p>Open.")] == ["Open."]
+    assert [b.text for b in html.blocks("<p>One.</p><script>cut</script")] == ["One."]
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(i, f"u{i}", PAGE.replace("{n}", cases.prose(i, 20)), "x") for i in range(40)] + [(90, "u", None, "x"), (91, None, "", "x"), (92, "u", "<p>", "x")],
                                   "page_id long, url string, html string, text string")

@@ -38,6 +38,8 @@ BLOCK = frozenset("""address article aside blockquote body canvas caption center
  summary table tbody td tfoot th thead title tr ul button""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg math iframe object textarea audio video canvas head title select button".split())
+# Silent tags whose content is no markup, so that only their own close tag ends them.
+RAW = frozenset("script style textarea title iframe".split())
 # A tag on the left is closed by the opening of one on the right.
 CLOSES = {"p": BLOCK - {"button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"},
           "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}}
@@ -59,6 +61,23 @@ class Block:
     linked: int  # characters inside links
 
 
+def _past(page: str, name: str, at: int) -> int:
+    """Where the page goes on after the close tag of a silent element whose content begins at ``at``; -1 without one."""
+    m = re.compile(rf"</{re.escape(name)}(?![^\s/>])", re.I).search(page, at)
+    if not m:
+        return -1
+    if name in RAW:
+        return page.find(">", m.end()) + 1 or len(page)
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        inner = (m[2] or "").lower()
+        if m[1] and inner == name:
+            return at
+        if not m[1] and inner in RAW and not m[3].endswith("/"):
+            at = max(at, _past(page, inner, at))
+    return -1
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order."""
     out: list[Block] = []
@@ -85,15 +104,9 @@ def blocks(page: str) -> list[Block]:
         links -= sum(name == "a" for name, _ in stack[at:])
         del stack[at:]
 
-    at, silent = 0, ""
-    for m in _TOKEN.finditer(page):
-        if silent:
-            if not (m[1] and m[2].lower() == silent):
-                continue
-            silent, at = "", m.end()
-            continue
-        if m.start() < at:
-            continue
+    at = 0
+    endless: set[str] = set()
+    while m := _TOKEN.search(page, at):
         add(page[at:m.start()])
         at = m.end()
         if not m[2]:
@@ -119,15 +132,16 @@ def blocks(page: str) -> list[Block]:
         elif name == "br":
             add(" ")
         if name in SILENT and not m[3].endswith("/"):
-            if re.compile(rf"</{re.escape(name)}", re.I).search(page, at):
-                silent = name
+            past = -1 if name in endless else _past(page, name, at)
+            if past < 0:
+                endless.add(name)
+            at = max(at, past)
             continue
         if name not in VOID and not m[3].endswith("/"):
             words = tuple(w for g in _NAMED.findall(m[3]) for w in _WORD.findall("".join(g).lower()))
             stack.append((name, words))
             links += name == "a"
-    if not silent:
-        add(page[at:])
+    add(page[at:])
     flush()
     return out
 
