@@ -11,6 +11,8 @@ from threadloom import schema
 from threadloom.functions.chain import json_object, json_string
 from threadloom.operators import audit as au, edits as ed, relate as rl, skew, upsert as up
 from threadloom.operators.ingest import ingest_reports
+from threadloom.plans import catalog_text
+from threadloom.sources import delimited as dl
 from threadloom.sources.store import CaseStore
 from threadloom.streaming import calls as sc
 from threadloom.streaming.audit import AuditStream
@@ -289,3 +291,14 @@ def test_registered_queries_match_sql(spark, name):
 
     want = sorted(plain([r[i] for i in at]) for r in cursor.fetchall())
     assert sorted(plain(r) for r in frame.select(*columns).collect()) == want
+
+
+def test_submitted_call_tables_stay_bounded_and_whole(spark):
+    rows = [("a", i, f"P{i}", "P0", "2024-01-01", "5") for i in range(1, 2501)] + [("b", 7, "P1", "P2", "2024-01-01", "5")]
+    calls = spark.createDataFrame(rows, "case_id string, row_no long, caller string, called string, ts_raw string, duration_raw string")
+    tables = catalog_text._call_tables(calls)
+    assert max(r.text.count("\n") for r in tables.collect()) == 1000
+    routed, loose = dl.route_documents(tables)
+    assert loose.count() == 0
+    found = dl.call_rows(routed.select("case_id", "doc_id", "text")).select("case_id", "caller", "called").collect()
+    assert sorted(map(tuple, found)) == sorted((c, a, b) for c, _, a, b, *_ in rows)

@@ -144,11 +144,22 @@ def rel8(d: Domain):
         F.count(F.lit(1)).alias("edge_count"), F.sum("confidence").alias("sightings"))
 
 
+#: Ids of calls that share a submitted table.
+TABLE_CALLS = 1000
+
+
+def _call_tables(calls):
+    """Calls as tables of a bounded number of lines; the header makes a table of a single call too."""
+    line = F.concat_ws(",", "caller", "called", "ts_raw", "duration_raw")
+    lines = F.array_join(F.array_sort(F.collect_list(line)), "\n")
+    tables = calls.groupBy("case_id", F.floor(F.col("row_no") / TABLE_CALLS).cast("string").alias("doc_id")).agg(
+        F.concat(F.lit("caller,called,timestamp,duration\n"), lines).alias("text"))
+    return tables.withColumn("doc_kind", F.lit("cdr"))
+
+
 def _submitted(d: Domain):
     """All reports as narratives and all calls as tables of lines, submitted to a store that holds other rows."""
-    line = F.concat_ws(",", "caller", "called", "ts_raw", "duration_raw")
-    tables = d.calls.groupBy("case_id", F.pmod("row_no", F.lit(8)).cast("string").alias("doc_id")).agg(
-        F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text")).withColumn("doc_kind", F.lit("cdr"))
+    tables = _call_tables(d.calls)
     reports = d.reports.select("case_id", "doc_id", "text").withColumn("doc_kind", F.lit("fir"))
     rows = tables.unionByName(reports).withColumn("append", F.col("case_id") == "view")
     old = d.spark.createDataFrame([("view", "Phone", "0"), ("other", "Phone", "0")], "case_id string, label string, id string")
