@@ -120,6 +120,21 @@ def test_personal_data_base_and_bootstrap(spark):
     assert pii.find(cases.empty(spark)).count() == 0
 
 
+def test_personal_data_learns_from_whole_spans(spark):
+    letters = "abcdefgh"
+    texts = [f"call +1 (017) 555-771{i} today" for i in range(8)] + [f"mail {c}x@{c}y.example today" for c in letters]
+    texts += [f"10:0{i}:00 10.{120 + i}.3.4 seen" for i in range(8)]
+    card = lambda i: next(d for d in (f"4111 1111 11{i}1 111{k}" for k in range(10)) if luhn(d.replace(" ", "")))
+    texts += [f"card {card(i)} used" for i in range(8)]
+    new = {"call +1 (017) 555-7719 123456 now": "phone:5:22", "mail j\u00f6rg@b\u00fccher.example now": "email:5:24",
+           "11:22:33 99.999.3.4 seen": "ip:9:19", "card 4111 1111 1121 1110 2024 2025 used": "card:5:24"}
+    docs = cases.documents(spark, [*texts, *new])
+    found = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    assert [found[100 + len(texts) + i] for i in range(len(new))] == list(new.values())
+    masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert masked[100 + len(texts)] == "call <PHONE> 123456 now"
+
+
 def spots(text):
     words = re.findall(r"[^\W_]+", text.lower())
     runs, run = [], []

@@ -1,7 +1,8 @@
 """Personal data by patterns and bootstrapped contextual extraction, in DataFrame functions alone.
 
-Base patterns give seed entities. A lexical pattern is the word before an entity and the shape of its token; patterns
-and instances form a weighted graph over all documents. Scores run over it in rounds: a pattern is as trustworthy as
+Base patterns give seed entities. A lexical pattern is the word before an entity and the shape of its whole span.
+Instances are all base spans, all tokens with a digit or an at sign, and all groups of digits with separators that have
+the shape of enough seeds; patterns and instances form a weighted graph over all documents. Scores run over it in rounds: a pattern is as trustworthy as
 the share of its instances that are, an instance as its patterns. Trusted patterns of enough different seeds then
 discover identifiers that no base pattern knows; these spans are added, base spans stay.
 
@@ -27,8 +28,10 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A token with a digit: what an identifier may look like.
-TOKEN = r"(?<![\p{L}\p{N}_@+=/.-])[\p{L}_@+=/.-]*+[0-9][\p{L}\p{N}_@+=/.-]*+"
+#: A token with a digit or an at sign: what an identifier without separators may look like.
+TOKEN = r"(?<![\p{L}\p{N}_@+=/.%-])[\p{L}_+=/.%-]*+[0-9@][\p{L}\p{N}_@+=/.%-]*+"
+#: Where digits in groups may begin: ten digits or more follow, as cards and phones have; the rest is the second group.
+GROUPS = r"(\+|(?<![0-9])[0-9])(?=(?:[\x20().-]*+[0-9]){9})(?=([\x20().0-9-]{0,%d}))"
 
 ROUNDS = 3
 #: A pattern counts with so many different seeds, and is trusted from this score on.
@@ -41,18 +44,33 @@ SPAN = "struct<start:int,stop:int,value:string,left:string>"
 
 def located(text: str, pattern: str) -> Column:
     """Array of (start, stop, value, left): matches in order, with up to 60 characters before each."""
-    state = f"struct<at:int,out:array<{SPAN}>>"
+    state = f"struct<at:int,tail:string,out:array<{SPAN}>>"
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(F.col(text), pattern, -1)
 
+    def last(before: Column, more: Column) -> Column:
+        return F.substring(F.concat(before, more), -60, 60)
+
     def step(done: Column, x: Column) -> Column:
         start = done["at"] + F.length(x["gap"])
         stop = start + F.length(x["value"])
-        span = F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"), F.substring(x["gap"], -60, 60).alias("left"))
-        return F.struct(stop.alias("at"), F.concat(done["out"], F.array(span)).alias("out")).cast(state)
+        left = last(done["tail"], x["gap"])
+        span = F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"), left.alias("left"))
+        return F.struct(
+            stop.alias("at"), last(left, x["value"]).alias("tail"), F.concat(done["out"], F.array(span)).alias("out")).cast(state)
 
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), values.alias("value")), lambda x: x["value"].isNotNull())
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")).cast(state), step, lambda done: done["out"])
+    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{SPAN}>").alias("out")).cast(state)
+    return F.aggregate(pairs, none, step, lambda done: done["out"])
+
+
+def _word(left: Column) -> Column:
+    """The word before a span, lower-cased, its digits alike."""
+    return F.regexp_replace(F.lower(F.regexp_extract(left, r"(\S+)\s*+$", 1)), "[0-9]", "9")
+
+
+def _shape(value: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), r"\p{Ll}++", "a"), r"\p{Lu}++", "A")
 
 
 def _digits(value: Column) -> Column:
@@ -81,7 +99,7 @@ def _luhn(value: Column) -> Column:
 
 
 def base_spans(text: str) -> Column:
-    """Array of (start, rank, stop, kind, value), by start and then kind as listed."""
+    """Array of (start, rank, stop, kind, value, left), by start and then kind as listed."""
     checks = [
         (EMAIL, F.contains(F.col(text), F.lit("@")), None),
         (IP, F.contains(F.col(text), F.lit(".")), _small),
@@ -94,20 +112,18 @@ def base_spans(text: str) -> Column:
             found = F.filter(found, lambda x: good(x["value"]))
         return F.transform(found, lambda x: F.struct(
             x["start"].alias("start"), F.lit(rank).alias("rank"), x["stop"].alias("stop"), F.lit(KINDS[rank]).alias("kind"),
-            x["value"].alias("value")))
+            x["value"].alias("value"), _word(x["left"]).alias("left")))
 
     parts = [part(rank, *check) for rank, check in enumerate(checks)]
     return F.array_sort(F.concat(*parts))
 
 
 def _tokens(text: str) -> Column:
-    """Array of (start, stop, value, left, shape) of tokens with a digit, trailing punctuation cut off."""
+    """Array of (start, stop, value, left) of tokens with a digit or an at sign, trailing punctuation cut off."""
     def trimmed(x: Column) -> Column:
-        value = F.regexp_replace(x["value"], "[=/.-]++$", "")
-        shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), r"\p{Ll}++", "a"), r"\p{Lu}++", "A")
+        value = F.regexp_replace(x["value"], "[=/.%-]++$", "")
         return F.struct(
-            x["start"].alias("start"), (x["start"] + F.length(value)).alias("stop"), value.alias("value"),
-            F.lower(F.regexp_extract(x["left"], r"(\S+)\s*+$", 1)).alias("left"), shape.alias("shape"))
+            x["start"].alias("start"), (x["start"] + F.length(value)).alias("stop"), value.alias("value"), _word(x["left"]).alias("left"))
 
     return F.transform(located(text, TOKEN), trimmed)
 
@@ -115,23 +131,57 @@ def _tokens(text: str) -> Column:
 def scan(docs: DataFrame, work: Workspace) -> DataFrame:
     """Written once: doc_id, text_key, base spans and tokens of every text; the text itself is left behind."""
     own = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    digits = F.rlike("text", F.lit("[0-9]"))
+    likely = F.rlike("text", F.lit("[0-9@]"))
     none = F.array()
     found = own.withColumn("base", base_spans("text")).withColumn("tokens", _tokens("text"))
     return work.cut(found.select(
         "doc_id", F.xxhash64("text").alias("text_key"), "base",
-        F.when(digits, F.col("tokens")).otherwise(none.cast(dict(found.dtypes)["tokens"])).alias("tokens")), "scan")
+        F.when(likely, F.col("tokens")).otherwise(none.cast(dict(found.dtypes)["tokens"])).alias("tokens")), "scan")
+
+
+def _instances(found: DataFrame, spans_: str, kind: Column) -> DataFrame:
+    """One row per span of an array with a word before it: its value, pattern and kind."""
+    rows = found.filter(F.size(spans_) > 0).select("doc_id", "text_key", F.explode(spans_).alias("t")).filter("t.left <> ''")
+    shape = _shape(F.col("t.value"))
+    return rows.select(
+        "doc_id", "text_key", "t.start", "t.stop", "t.value", shape.alias("shape"), F.concat_ws(" ", "t.left", shape).alias("pattern"), kind.alias("kind"))
+
+
+def _apart(spans_: str) -> Column:
+    """The spans of an array that meet no base span."""
+    return F.filter(spans_, lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """One row per token with a word before it: its pattern, and the kind where it is a seed."""
-    rows = found.filter(F.size("tokens") > 0).select("doc_id", "text_key", "base", F.explode("tokens").alias("t")).filter("t.left <> ''")
-    meets = F.filter("base", lambda b: (b["start"] < F.col("t.stop")) & (F.col("t.start") < b["stop"]))
-    rows = rows.withColumn("meets", meets)
-    same = F.filter("meets", lambda b: (b["start"] == F.col("t.start")) & (b["stop"] == F.col("t.stop")))
-    return rows.filter((F.size("meets") == 0) | (F.size(same) > 0)).select(
-        "doc_id", "text_key", F.col("t.start").alias("start"), F.col("t.stop").alias("stop"), F.col("t.value").alias("value"),
-        F.concat_ws(" ", "t.left", "t.shape").alias("pattern"), F.get(same, F.lit(0))["kind"].alias("kind"))
+    """Base spans, which are the seeds, and tokens apart from them."""
+    tokens = found.select("doc_id", "text_key", _apart("tokens").alias("tokens"))
+    return _instances(found, "base", F.col("t.kind")).unionByName(_instances(tokens, "tokens", F.lit(None).cast("string")))
+
+
+def grouped(docs: DataFrame, seeds: DataFrame) -> DataFrame | None:
+    """Digits in groups, apart from base spans, in every shape that enough seeds after one word have; overlaps stay."""
+    own = seeds.filter("kind is not null").filter(F.rlike("shape", F.lit(r"[\x20()]")))
+    shapes = own.groupBy("pattern", "shape").agg(F.countDistinct("value").alias("n")).filter(F.col("n") >= SEEDS).select("shape").distinct()
+    listed = sorted(r["shape"] for r in shapes.collect())
+    if not listed:
+        return None
+    pattern = GROUPS % max(map(len, listed))
+    known = F.array(*[F.lit(x) for x in listed])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.rlike("text", F.lit(pattern)))
+    tails = F.regexp_extract_all("text", F.lit(pattern), F.lit(2))
+
+    def windows(x: Column) -> Column:
+        run = F.concat(x["at"]["value"], x["tail"])
+        form = F.regexp_replace(run, "[0-9]", "9")
+        fits = F.filter(known, lambda s: F.startswith(form, s) & (F.substring(form, F.length(s) + 1, F.lit(1)) != "9"))
+        return F.transform(fits, lambda s: F.struct(
+            x["at"]["start"].alias("start"), (x["at"]["start"] + F.length(s)).alias("stop"), F.substring(run, F.lit(1), F.length(s)).alias("value"),
+            _word(x["at"]["left"]).alias("left")))
+
+    found = rows.select(
+        "doc_id", F.xxhash64("text").alias("text_key"), base_spans("text").alias("base"),
+        F.flatten(F.transform(F.arrays_zip(located("text", pattern).alias("at"), tails.alias("tail")), windows)).alias("groups"))
+    return _instances(found.select("doc_id", "text_key", _apart("groups").alias("groups")), "groups", F.lit(None).cast("string"))
 
 
 def trusted(tokens: DataFrame, work: Workspace) -> DataFrame:
@@ -149,7 +199,7 @@ def trusted(tokens: DataFrame, work: Workspace) -> DataFrame:
         scores = work.cut(scores.join(reached, "value", "left").select(
             "value", F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.coalesce("reach", F.lit(0.0))).alias("score"), "seed"), "scores")
     good = graph.join(scores, "value").groupBy("pattern", "pattern_kind").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("trust")).filter(F.col("trust") >= TRUST)
-    new = graph.select("pattern", "value").join(good, "pattern").join(scores.filter("seed is null"), "value")
+    new = graph.select("pattern", "value").join(good, "pattern").join(scores, "value")
     return new.filter((F.col("score") >= ACCEPT) & (F.length("value") >= LEAST_LENGTH)).select("pattern", "value", F.col("pattern_kind").alias("kind"))
 
 
@@ -158,11 +208,14 @@ def spans(docs: DataFrame) -> DataFrame:
     work = Workspace(docs.sparkSession, "pii")
     found = scan(docs, work)
     tokens = work.cut(occurrences(found), "tokens")
+    groups = grouped(docs, tokens)
+    if groups is not None:
+        tokens = tokens.unionByName(work.cut(groups, "groups"))
     added = tokens.filter("kind is null").drop("kind").join(trusted(tokens, work), ["pattern", "value"])
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
     more = added.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", rank.alias("rank"), "stop", "kind"))).alias("more"))
     more = more.withColumnsRenamed({"doc_id": "more_id", "text_key": "more_key"})
-    slim = found.select("doc_id", "text_key", F.transform("base", lambda x: x.dropFields("value")).alias("base"))
+    slim = found.select("doc_id", "text_key", F.transform("base", lambda x: x.dropFields("value", "left")).alias("base"))
     joined = slim.join(more, F.col("doc_id").eqNullSafe(F.col("more_id")) & (F.col("text_key") == F.col("more_key")), "left")
     return joined.select("doc_id", "text_key", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(
         F.array_sort(F.concat("base", "more"))).alias("all"))
