@@ -126,7 +126,8 @@ def _renames(d: Domain):
     first = d.buyers.groupBy(F.col("case_id"), "c_mktsegment").agg(F.min(F.when(F.col("c_acctbal") >= 0, F.col("c_name"))).alias("first"))
     new = F.when(F.col("c_acctbal") > 9000, F.concat(F.lit(" VIP "), "c_name")).when(F.col("c_acctbal") < 0, F.col("first"))
     return d.buyers.join(first, ["case_id", "c_mktsegment"]).select(
-        "case_id", F.lit("Person").alias("label"), F.col("c_name").alias("old_id"), new.alias("new_id")
+        "case_id", F.lit("Person").alias("label"), F.col("c_name").alias("old_id"), new.alias("new_id"),
+        F.when(F.col("c_acctbal") < 0, 0).otherwise(1).cast("long").alias("ord"),  # clashing names first
     ).filter("new_id IS NOT NULL")
 
 
