@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, fingerprints, html, language, minhash, oracle, packing, pii, quality, tokenfile, toxicity
+from threadloom.llm import (
+    decontaminate, exact, fingerprints, html, language, manifest, minhash, oracle, packing, pii, quality, spelling, tokenfile, toxicity)
 from threadloom.llm.common import remainder, table
 from threadloom.operators.cutting import Workspace
 
@@ -64,6 +65,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 ENTRIES = {
     "op1_decontaminate": (op1_decontaminate, oracle.OP1),
     "op2_html": (op2_html, None),
@@ -75,6 +88,9 @@ ENTRIES = {
     "op8_language": (op8_language, None),
     "op9_pack": (op9_pack, None),
     "op10_fingerprints": (op10_fingerprints, None),
+    "op11_manifest": (op11_manifest, oracle.OP11),
+    "op12_exact_duplicates": (op12_exact_duplicates, oracle.OP12),
+    "op13_spelling": (op13_spelling, oracle.OP13),
 }
 
 
