@@ -48,9 +48,10 @@ def _cut(size: int, with_ids: bool):
 
 def pack(docs: DataFrame, size: int = SIZE, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document in a window: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
-    table = tokens.token_table(docs, Workspace(docs.sparkSession, "packing"), vocabulary)
+    work = Workspace(docs.sparkSession, "packing")
+    table = tokens.token_table(docs, work, vocabulary)
     bases = tokens.starts(table.groupBy("part").agg(F.sum("n_tokens").alias("total")), "part")
-    placed = table.join(bases, "part").select("doc_id", (F.col("base") + F.col("local")).alias("at"), "ids")
+    placed = tokens.with_starts(table, bases, "part", work).select("doc_id", (F.col("base") + F.col("local")).alias("at"), "ids")
     pieces = placed.mapInArrow(_cut(size, with_ids), PIECES)
     return pieces if with_ids else pieces.drop("ids")
 

@@ -44,8 +44,10 @@ ROWS_ARROW = pa.schema([(f.name, pa.binary() if f.name == "ids" else pa.int64())
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for binary in batch.column("ids"):
-            total += np.bincount(tokens.unpack(binary.as_buffer()), minlength=1 << 16)
+        ids = batch.column("ids")
+        ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, offset=4 * ids.offset)
+        if len(ids) and ends[-1] > ends[0]:  # all ids of the batch lie behind each other
+            total += np.bincount(np.frombuffer(ids.buffers()[2], "<u2", (ends[-1] - ends[0]) // 2, ends[0]), minlength=1 << 16)
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"])
 
@@ -130,7 +132,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     shares = rans.Frequencies.frombytes(bytes(spark.read.parquet(f"{folder}/frequencies").first()[0]))
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").select(
         "range", "start", "docs", "lengths", "payload")
-    bases = spark.read.parquet(f"{folder}/ranges")
     rows = blocks.mapInArrow(_decode(spark.sparkContext.broadcast(shares), with_ids), ROWS)
-    placed = (rows if with_ids else rows.drop("ids")).join(bases, "range")
+    bases = spark.read.parquet(f"{folder}/ranges")
+    placed = tokens.with_starts(rows if with_ids else rows.drop("ids"), bases, "range", Workspace(spark, "tokenfile"))
     return placed.withColumn("start", F.col("base") + F.col("start")).drop("range", "base")

@@ -2,12 +2,14 @@
 
 The pre-tokenizer of the vocabulary drops white space and never joins characters across it, so the ids of a text are
 the ids of its words in order. Each batch encodes its distinct words once with the tokenizers library; a bounded
-cache keeps them between batches. A word that ends in plain punctuation is two pre-tokens, so its stem is shared.
+cache keeps them between batches. A word that ends in plain punctuation is two pre-tokens, so its stem is shared,
+unless the normaliser puts a mark at the stem's end or the word holds an added token of the vocabulary.
 """
 
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +26,11 @@ from threadloom.operators.cutting import Workspace
 #: Appended to every document.
 END_ID = 2
 #: Words that a task's cache may hold, in two generations of this size.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Text worked on at once; more of it shares more words.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
+#: Rows of a table with one row per task or range, up to which it is broadcast.
+FEW = 1_000_000
 
 # Fixed value: ASCII punctuation that a pre-token may end in; the apostrophe, which starts contractions, is left out.
 TAIL = "!#$%&()*+,-./:;<=>?@[]^_`{|}~\"\\"
@@ -48,7 +52,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -63,19 +67,18 @@ class Encoder:
         for part, got in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
             self.young[part] = np.array(got.ids, np.uint16).tobytes()
 
-    @staticmethod
-    def _stem(word: str) -> tuple[str, str]:
+    def _stem(self, word: str) -> tuple[str, str]:
         """A word as (stem, tail of punctuation) whose ids simply follow each other."""
         stem = word.rstrip(TAIL)
-        if not stem:
+        if len(stem) < len(word) and any(token in word for token in self.added):
             return word, ""
-        if not stem[-1].isalnum():
+        if stem.isascii():
+            low = stem.lower()
+            return (low, word[len(stem):]) if low[-1:].isalnum() else (word, "")
+        low = unicodedata.normalize("NFC", stem).lower()
+        if len(low) != len(stem) or not low[-1].isalnum():
             return word, ""
-        tail = word[len(stem):]
-        low = stem.lower()
-        if len(low) == len(stem) and (stem.isascii() or max(stem) < "ɐ"):
-            stem = low
-        return stem, tail
+        return (low if max(stem) < "ɐ" else stem), word[len(stem):]
 
     def words(self, words: list[str]) -> list[bytes]:
         pairs = [self._stem(w) for w in words]
@@ -138,6 +141,8 @@ def _encoder(path: str):
                     docs.slice(a, n), pa.array(np.full(n, part, np.int32)), pa.array(local + row_at[:-1]),
                     pa.array(np.diff(row_at)), body], schema=ARROW)
                 local += int(row_at[-1])
+                del row_at, ids, body
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -163,5 +168,11 @@ def starts(totals: DataFrame, order: str) -> DataFrame:
     return totals.select(order, F.coalesce(F.sum("total").over(before), F.lit(0)).cast("long").alias("base"))
 
 
+def with_starts(rows: DataFrame, bases: DataFrame, order: str, work: Workspace) -> DataFrame:
+    """``rows`` joined with their base; no shuffle of them while there are at most FEW bases."""
+    bases = work.cut(bases, "starts")
+    return rows.join(F.broadcast(bases) if bases.count() <= FEW else bases, order)
+
+
 def unpack(binary) -> np.ndarray:
     return np.frombuffer(binary, "<u2")
