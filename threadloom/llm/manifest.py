@@ -214,14 +214,14 @@ def _placed(rows: DataFrame, order: list[str], levels: int, work: Workspace) ->
     sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     seen = dealt.join(F.broadcast(bases), "part").withColumn("rank", F.col("base") + F.col("local")).drop("part", "local", "base")
-    trees = seen.groupBy("tree").agg(F.min("rank").alias("first"), F.ceil(F.count(F.lit(1)) / ARITY ** levels).alias("blocks"))
+    trees = work.cut(seen.groupBy("tree").agg(F.min("rank").alias("first"), F.ceil(F.count(F.lit(1)) / ARITY ** levels).alias("blocks")), "sizes")
     return seen.join(trees, "tree").withColumn("at", F.col("rank") - F.col("first")).drop("rank", "first")
 
 
 def _in_blocks(rows: DataFrame, names: list[str], levels: int) -> DataFrame:
     """(tree, block, blocks, items): neighbours in one row, by place."""
-    block = F.floor(F.col("at") / ARITY ** levels)
-    return rows.groupBy("tree", block.alias("block"), "blocks").agg(F.sort_array(F.collect_list(F.struct("at", "digest", *names))).alias("items"))
+    dealt = rows.withColumn("block", F.floor(F.col("at") / ARITY ** levels)).repartition("tree", "block")  # a join by tree does not decide it
+    return dealt.groupBy("tree", "block", "blocks").agg(F.sort_array(F.collect_list(F.struct("at", "digest", *names))).alias("items"))
 
 
 def _grown(rows: DataFrame, names: list[str], levels: int, work: Workspace) -> tuple[list[DataFrame], DataFrame]:
