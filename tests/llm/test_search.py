@@ -1,8 +1,11 @@
 import hashlib
+import random
 import re
 from itertools import combinations
 
 import duckdb
+import numpy as np
+import pytest
 
 from threadloom.llm import decontaminate, fingerprints, minhash, oracle, pii
 
@@ -72,6 +75,34 @@ def test_near_duplicates_equal_brute_force(spark):
     assert minhash.near_duplicates(cases.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("tile_rows", [2048, 100])
+def test_a_large_group_about_the_threshold_keeps_every_link(spark, tile_rows):
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(600):
+        words = list(base)
+        for _ in range(draw.randrange(1, 5)):
+            words[draw.randrange(60)] = f"x{draw.randrange(40)}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {d: {(a, b) for a, b in zip(t.split(), t.split()[1:])} for d, t in texts.items()}
+    want = components(sets, 85)
+    assert 20 < len(set(want.values())) < 590
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 2, 85, tile_rows).collect()}
+    assert got == want
+
+
+def test_set_sizes_by_products_equal_set_sizes_one_by_one():
+    draw = np.random.default_rng(3)
+    rows = [np.unique(draw.integers(0, 400, draw.integers(0, 90))).astype(np.uint64) for _ in range(30)]
+    sets = minhash._Sets(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.concatenate(rows))
+    left, right = np.arange(0, 12), np.arange(5, 30)
+    for width in (7, 4096):
+        got = sets.all_common(left, right, width)
+        assert all(got[i, j] == len(np.intersect1d(rows[a], rows[b])) == sets.common(a, b) for i, a in enumerate(left) for j, b in enumerate(right) if a != b)
+
+
 def components_of(docs, k):
     return {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, k, 80).collect() if r.doc_id is not None}
 

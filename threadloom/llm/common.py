@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes of text that a task works on at once; a longer single text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: Cut points of doc_id; a range between two is split further by equal steps.
 CUTS = 1000

@@ -6,13 +6,15 @@ and documents that share a band are candidates:
 1. every bucket links its members to its smallest one (linear in the bucket), and components are formed;
 2. buckets whose members still lie in different components are searched for the pairs that step one did not try,
    leaving out pairs inside one component, which need no further link. Pairs of small buckets are made as rows; a
-   bucket of more than ``SMALL`` members is dealt to pairs of tiles of at most about ``TILE`` members, and a task
-   counts the intersections of a tile pair by matrix products and returns a spanning forest of its links, so that a
-   large group of texts just under the threshold costs comparisons but no rows.
+   bucket of more than ``SMALL`` members is dealt to pairs of tiles of at most about ``TILE_ITEMS`` shingles, and a
+   task searches a tile pair in place and returns a spanning forest of its links. A pair is compared in the first
+   bucket it shares. A large group of texts just under the threshold thus costs comparisons (their number grows with
+   the square of the group, as the posterior cannot tell such pairs apart) but no row for each.
 
-A candidate pair made as a row is compared a batch of signature values at a time and dropped as soon as the posterior chance that
-its similarity reaches the threshold falls under ``MISS``; survivors are confirmed on their full shingle sets, so
-every link reported is exact. With 40 bands of 5 rows a pair at similarity 0.8 misses all bands with chance 1.3e-7.
+A candidate pair, in a row or in a tile, is compared a batch of signature values at a time and dropped as soon as the
+posterior chance that its similarity reaches the threshold falls under ``MISS``; survivors are confirmed on their full
+shingle sets, so every link reported is exact. With 40 bands of 5 rows a pair at similarity 0.8 misses all bands with
+chance 1.3e-7.
 
 Defined results: null texts and texts without words are empty and linked with nothing; texts of fewer than ``k``
 words have their whole sequence as one shingle; rows without a doc_id have no component and are not kept; rows that
@@ -45,8 +47,12 @@ BATCH = 25
 MISS = 1e-6
 #: Lowest bits of the first signature values, compared before a pair is made at all.
 BITS = 128
-#: Members up to which a bucket's pairs are made as rows, and about how many a tile of a larger one has.
-SMALL, TILE = 16, 192
+#: Members up to which a bucket's pairs are made as rows.
+SMALL = 16
+#: Shingles and members of a tile of a larger bucket, about; members of a tile that are compared at once.
+TILE_ITEMS, TILE_ROWS, SIDE = 1 << 20, 2048, 256
+#: Survivors among these from which on their intersections are counted by matrix products.
+DENSE = 2000
 #: Bits of the filter that comes before a join on candidate ids.
 FILTER_BITS = 1 << 21
 
@@ -98,6 +104,26 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(counts)]), value[once]
 
 
+def signatures(ends: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The least value of every hash function in each set; zeros for empty sets."""
+    out, some = np.zeros((len(ends) - 1, HASHES), "<u4"), np.flatnonzero(np.diff(ends))
+    if len(some):
+        with np.errstate(over="ignore"):
+            for i in range(HASHES):
+                out[some, i] = np.minimum.reduceat((value * MULTIPLY[i] + ADD[i]) >> np.uint64(32), ends[:-1][some])
+    return out
+
+
+def band_keys(signature: np.ndarray) -> np.ndarray:
+    """One key per row and band."""
+    value = signature.astype(np.uint64).reshape(len(signature), BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), value.shape[:2]).copy()
+    with np.errstate(over="ignore"):
+        for column in range(ROWS):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + value[:, :, column]
+    return common.mix(key)
+
+
 SKETCH = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key_a", T.LongType()),
     T.StructField("key_b", T.LongType()), T.StructField("signature", T.BinaryType()),
@@ -114,14 +140,12 @@ def _sketch(k: int):
                 n = np.diff(ends)
                 some = np.flatnonzero(n)
                 key = np.zeros((2, b - a), np.uint64)
-                signature = np.zeros((b - a, HASHES), "<u4")
+                signature = signatures(ends, value)
                 if len(some):
                     begin = ends[:-1][some]
                     with np.errstate(over="ignore"):
                         key[0, some] = np.add.reduceat(common.mix(value), begin)
                         key[1, some] = np.add.reduceat(common.mix(value ^ np.uint64(0x5851F42D4C957F2D)), begin)
-                        for i in range(HASHES):
-                            signature[some, i] = np.minimum.reduceat((value * MULTIPLY[i] + ADD[i]) >> np.uint64(32), begin)
                 yield pa.RecordBatch.from_arrays([
                     docs.slice(a, b - a), pa.array(n), pa.array(key[0].view(np.int64)), pa.array(key[1].view(np.int64)),
                     pa.array([s.tobytes() if c else None for s, c in zip(signature, n)], pa.binary())], schema=SKETCH_ARROW)
@@ -137,26 +161,18 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _bands(signatures: pa.Array) -> pa.Array:
     """Band keys, then the packed low bits as two numbers."""
-    rows = []
-    powers = np.uint64(0x9E3779B97F4A7C15)
-    for s in signatures:
-        value = np.frombuffer(s.as_buffer(), "<u4").astype(np.uint64)
-        with np.errstate(over="ignore"):
-            key = np.arange(1, BANDS + 1, dtype=np.uint64)
-            for column in value.reshape(BANDS, ROWS).T:
-                key = key * powers + column
-            key = common.mix(key)
-        bits = np.packbits((value[:BITS] & np.uint64(1)).astype(np.uint8)).view(np.int64)
-        rows.append(np.concatenate([key.view(np.int64), bits]))
-    return pa.array(rows, pa.list_(pa.int64()))
+    value = np.frombuffer(b"".join(s.as_buffer() for s in signatures), "<u4").reshape(len(signatures), HASHES)
+    bits = np.packbits((value[:, :BITS] & 1).astype(np.uint8), axis=1).view(np.int64)
+    rows = np.concatenate([band_keys(value).view(np.int64), bits], axis=1)
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * (BANDS + 2), pa.array(rows.reshape(-1)))
 
 
 def banded(reps: DataFrame) -> DataFrame:
-    """(key, rep, n, bits_a, bits_b): one row per band of each representative."""
+    """(key, band, rep, n, bits_a, bits_b): one row per band of each representative."""
     cut = reps.select("rep", "n", _bands("signature").alias("b"))
     return cut.select(
         "rep", "n", F.col("b")[BANDS].alias("bits_a"), F.col("b")[BANDS + 1].alias("bits_b"),
-        F.explode(F.slice("b", 1, BANDS)).alias("key"))
+        F.posexplode(F.slice("b", 1, BANDS)).alias("band", "key"))
 
 
 # ---------------------------------------------------------------- verification
@@ -250,58 +266,124 @@ def _full_sets(ids: DataFrame, docs: DataFrame, k: int, work: Workspace) -> Data
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
+class _Sets:
+    """Shingle sets of a tile pair by dense numbers of those shingles that occur more than once."""
+
+    def __init__(self, ends: np.ndarray, value: np.ndarray):
+        self.size = np.diff(ends)
+        _, element, times = np.unique(value, return_inverse=True, return_counts=True)
+        often = times[element] > 1
+        number = np.cumsum(times > 1) - 1
+        kept = np.concatenate([[0], np.cumsum(often)])
+        self.ends, self.items = kept[ends], number[element[often]]
+
+    def one(self, row: int) -> np.ndarray:
+        return self.items[self.ends[row]:self.ends[row + 1]]
+
+    def common(self, left: int, right: int) -> int:
+        return len(np.intersect1d(self.one(left), self.one(right), assume_unique=True))
+
+    def all_common(self, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+        """Sizes of the intersections of all of ``left`` with all of ``right``."""
+        sides = []
+        for rows in (left, right):
+            items = [self.one(r) for r in rows]
+            flat = np.concatenate(items)
+            order = np.argsort(flat, kind="stable")
+            sides.append((np.repeat(np.arange(len(rows)), [len(i) for i in items])[order], flat[order]))
+        out = np.zeros((len(left), len(right)), np.float32)
+        for start in range(0, 1 + max((int(flat[-1]) for _, flat in sides if len(flat)), default=0), width):
+            parts = []
+            for (row, flat), rows in zip(sides, (left, right)):
+                a, b = np.searchsorted(flat, [start, start + width])
+                part = np.zeros((len(rows), width), np.float32)
+                part[row[a:b], flat[a:b] - start] = 1
+                parts.append(part)
+            out += parts[0] @ parts[1].T
+        return out
+
+
+class _Forest:
+    """Components under the links found so far."""
+
+    def __init__(self, names: np.ndarray):
+        self.top = np.unique(names, return_inverse=True)[1]
+        self.parent = list(range(len(names)))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        known: dict[int, int] = {}
+        return np.array([known.setdefault(t, self.find(t)) for t in self.top[rows].tolist()])
+
+    def joined(self, left: int, right: int) -> bool:
+        """Join two rows; whether they were apart."""
+        x, y = self.find(int(self.top[left])), self.find(int(self.top[right]))
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _alive(left: np.ndarray, right: np.ndarray, sketch: np.ndarray, needed: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs the posterior leaves, and the number of their equal values."""
+    alive, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
+    for step, least in enumerate(needed):
+        span = slice(step * BATCH, (step + 1) * BATCH)
+        matches[alive] += (sketch[left[alive], span] == sketch[right[alive], span]).sum(axis=1)
+        alive = alive[matches[alive] >= least]
+    return alive, matches[alive]
+
+
 def _tile_links(percent: int):
+    needed = [least_matches(n, percent) for n in range(BATCH, HASHES + 1, BATCH)]
+
     def run(table: pa.Table) -> pa.Table:
         rep, comp, tile = (table.column(c).to_numpy() for c in ("rep", "comp", "tile"))
-        left, right = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        low, high, band = (table.column(c)[0].as_py() for c in ("low", "high", "band"))
         items = table.column("items").combine_chunks()
         ends = np.asarray(items.offsets, np.int64)
-        own = np.repeat(np.arange(len(rep)), np.diff(ends))
-        known, element, times = np.unique(np.asarray(items.flatten()), return_inverse=True, return_counts=True)
-        shared = times[element] > 1
-        place = np.cumsum(times > 1) - 1
-        row, column = own[shared], place[element[shared]]
-        both = np.zeros((len(rep), len(rep)), np.float32)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        width = 4096
-        cuts = np.searchsorted(column, np.arange(0, int(column[-1]) + width + 1, width)) if len(column) else np.zeros(1, np.int64)
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a:
-                part = np.zeros((len(rep), width), np.float32)
-                part[row[a:b], column[a:b] % width] = 1
-                both += part @ part.T
-        n = np.diff(ends)
-        reached = both * 100 >= (n[:, None] + n[None, :] - both) * percent
-        reached &= comp[:, None] != comp[None, :]
-        if left != right:
-            reached &= tile[:, None] != tile[None, :]
-        top = {c: c for c in comp.tolist()}
-
-        def find(x):
-            while top[x] != x:
-                top[x] = top[top[x]]
-                x = top[x]
-            return x
-
-        out = []
-        for i, j in zip(*np.nonzero(np.triu(reached, 1))):
-            x, y = find(int(comp[i])), find(int(comp[j]))
-            if x != y:
-                top[max(x, y)] = min(x, y)
-                out.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        value = np.asarray(items.flatten()).view(np.uint64)
+        ends = ends - ends[0]
+        sketch, sets, forest, out = signatures(ends, value), _Sets(ends, value), _Forest(comp), []
+        earlier = band_keys(sketch)[:, :band]
+        sides = [np.flatnonzero(tile == t) for t in (low, high)]
+        for a in range(0, len(sides[0]), SIDE):
+            for b in range(a if low == high else 0, len(sides[1]), SIDE):
+                left, right = sides[0][a:a + SIDE], sides[1][b:b + SIDE]
+                open_ = forest.of(left)[:, None] != forest.of(right)[None, :]
+                x, y = sets.size[left][:, None], sets.size[right][None, :]
+                open_ &= np.minimum(x, y) * 100 >= np.maximum(x, y) * percent
+                if low == high and a == b:
+                    open_ = np.triu(open_, 1)
+                for column in earlier.T:  # those pairs belong to a bucket before this one
+                    open_ &= column[left][:, None] != column[right][None, :]
+                i, j = np.nonzero(open_)
+                alive, matches = _alive(left[i], right[j], sketch, needed)
+                alive = alive[np.argsort(-matches, kind="stable")]
+                whole = sets.all_common(left, right) if len(alive) > DENSE else None
+                for p, q in zip(i[alive].tolist(), j[alive].tolist()):
+                    one, two = int(left[p]), int(right[q])
+                    if forest.find(int(forest.top[one])) == forest.find(int(forest.top[two])):
+                        continue
+                    both = sets.common(one, two) if whole is None else int(whole[p, q])
+                    if both * 100 >= (sets.size[one] + sets.size[two] - both) * percent and forest.joined(one, two):
+                        out.append((min(rep[one], rep[two]), max(rep[one], rep[two])))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
 
-def _tiled_links(rest: DataFrame, docs: DataFrame, k: int, percent: int, work: Workspace) -> DataFrame:
-    """Links that join components of large buckets; rows are (key, rep, comp, size)."""
+def _tiled_links(rest: DataFrame, docs: DataFrame, k: int, percent: int, work: Workspace,
+                 tile_items: int = TILE_ITEMS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Links that join components of large buckets; rows are (key, band, rep, n, comp, size)."""
     full = _full_sets(rest.select("rep"), docs, k, work)
-    tiles = F.ceil(F.col("size") / TILE).cast("long")
-    rows = rest.select("key", "rep", "comp", tiles.alias("tiles")).withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")))
+    tiles = rest.groupBy("key").agg(F.ceil(F.greatest(F.sum("n") / tile_items, F.count(F.lit(1)) / tile_rows)).cast("long").alias("tiles"))
+    rows = rest.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    rows = rows.select("key", "rep", "comp", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
+    rows = rows.select("key", "band", "rep", "comp", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"))
     held = rows.join(full, F.col("rep") == F.col("id")).drop("id")
     return held.groupBy("key", "low", "high").applyInArrow(_tile_links(percent), LINKS).distinct()
 
@@ -332,7 +414,7 @@ class _Tables(Workspace):
                 self.drop(table)
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id, component_id, kept."""
     work = _Tables(docs.sparkSession, "minhash")
     sketch = work.cut(sketches(docs, k), "sketches")
