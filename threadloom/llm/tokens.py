@@ -1,15 +1,15 @@
 """Token ids of whole texts, kept as a table that later stages read.
 
-The pre-tokenizer of the vocabulary drops white space and never joins characters across it, so the ids of a text are
-the ids of its words in order. Each batch encodes its distinct words once with the tokenizers library; a bounded
-cache keeps them between batches. A word that ends in plain punctuation is two pre-tokens, so its stem is shared,
-unless the normaliser puts a mark at the stem's end or the word holds an added token of the vocabulary.
+The pre-tokenizer of the vocabulary drops white space and never joins characters across it, and its normaliser lowers
+case, so the ids of a text are the ids of its lower-cased words in order. A slice of texts is split and its distinct
+words are looked up as Arrow arrays; words that the bounded cache lacks go to the tokenizers library, those of a to z
+many at a time, since each of them ends in the one id that closes a word. ASCII punctuation behind an ASCII letter or
+digit at a word's end is a word of its own. Texts that name an added token of the vocabulary are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +25,19 @@ from threadloom.operators.cutting import Workspace
 
 #: Appended to every document.
 END_ID = 2
-#: Words that a task's cache may hold, in two generations of this size.
-CACHE_WORDS = 100_000
+#: Words that the cache of a process may hold.
+CACHE_WORDS = 400_000
 #: Text worked on at once; more of it shares more words.
 SLICE_BYTES = 4 << 20
+#: Words that the library encodes as one text.
+TOGETHER = 500
 #: Rows of a table with one row per task or range, up to which it is broadcast.
 FEW = 1_000_000
 
-# Fixed value: ASCII punctuation that a pre-token may end in; the apostrophe, which starts contractions, is left out.
-TAIL = "!#$%&()*+,-./:;<=>?@[]^_`{|}~\"\\"
+# Fixed value: letters of one code point each, whose runs are one pre-token.
+RUN = "^[a-zÀ-ÖØ-öø-ÿ]+$"
+# Fixed value: ASCII punctuation that a pre-token may consist of; the apostrophe, which starts contractions, is left out.
+TAIL = r"([a-z0-9])([!-&(-/:-@\[-`{-~]+)(\s|$)"
 
 
 def vocabulary_path() -> str:
@@ -53,8 +57,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.closes = np.zeros(1 << 16, bool)
+        self.closes[[number for token, number in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self._set(pa.array([], pa.large_string()), np.zeros(0, np.uint16), np.zeros(1, np.int64))
+
+    def _set(self, words: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
+        """The cache: words, and their ids behind each other."""
+        self.known, self.ids, self.ends = words, ids, ends
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -63,52 +72,63 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _learn(self, parts: list[str]) -> None:
-        for part, got in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-            self.young[part] = np.array(got.ids, np.uint16).tobytes()
-
-    def _stem(self, word: str) -> tuple[str, str]:
-        """A word as (stem, tail of punctuation) whose ids simply follow each other."""
-        stem = word.rstrip(TAIL)
-        if len(stem) < len(word) and any(token in word for token in self.added):
-            return word, ""
-        if stem.isascii():
-            low = stem.lower()
-            return (low, word[len(stem):]) if low[-1:].isalnum() else (word, "")
-        low = unicodedata.normalize("NFC", stem).lower()
-        if len(low) != len(stem) or not low[-1].isalnum():
-            return word, ""
-        return (low if max(stem) < "ɐ" else stem), word[len(stem):]
-
-    def words(self, words: list[str]) -> list[bytes]:
-        pairs = [self._stem(w) for w in words]
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        missing = []
-        for part in {x for pair in pairs for x in pair if x}:
-            if part not in young:
-                if part in old:
-                    young[part] = old[part]
-                else:
-                    missing.append(part)
-        if missing:
-            self._learn(missing)
-        young[""] = b""
-        return [young[a] + young[b] for a, b in pairs]
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(got.ids, np.uint16) for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(words, ids, ends) of new words, single runs of letters first."""
+        plain = pc.match_substring_regex(words, RUN)
+        simple, others = words.filter(plain), words.filter(pc.invert(plain))
+        joined = [" ".join(simple.slice(i, TOGETHER).to_pylist()) for i in range(0, len(simple), TOGETHER)]
+        flat = np.concatenate([np.zeros(0, np.uint16), *self._library(joined)])
+        own = self._library(others.to_pylist())
+        ends = np.concatenate([[0], np.flatnonzero(self.closes[flat]) + 1, len(flat) + np.cumsum([len(part) for part in own], dtype=np.int64)])
+        return pa.concat_arrays([simple, others]), np.concatenate([flat, *own]), ends
+
+    def _looked_up(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words in the cache, which takes in those that it lacks."""
+        place = pc.index_in(words, self.known)
+        if place.null_count:
+            fresh = words.filter(pc.is_null(place))
+            if len(self.known) + len(fresh) > CACHE_WORDS:  # start again from the words at hand
+                self._set(self.known.slice(0, 0), self.ids[:0], self.ends[:1])
+                fresh = words
+            fresh, ids, ends = self._learn(fresh)
+            self._set(pa.concat_arrays([self.known, fresh]), np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + ends[1:]]))
+            place = pc.index_in(words, self.known)
+        return place.to_numpy(zero_copy_only=False)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(row offsets, ids) with the end id after each row."""
-        split = pc.ascii_split_whitespace(texts)
+        low = pc.ascii_lower(texts)
+        special = np.zeros(len(texts), bool)
+        for token in self.added:
+            special |= pc.match_substring(low, token).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self._encode_words(low)
+        row_at, parts, row = [np.zeros(1, np.int64)], [], 0
+        while row < len(texts):
+            stop = row + 1
+            while stop < len(texts) and not special[row] and not special[stop]:
+                stop += 1
+            if special[row]:
+                ids = np.append(self._library([texts[row].as_py()])[0], np.uint16(END_ID))
+                ends = np.array([0, len(ids)])
+            else:
+                ends, ids = self._encode_words(low.slice(row, stop - row))
+            row_at.append(row_at[-1][-1] + ends[1:])
+            parts.append(ids)
+            row = stop
+        return np.concatenate(row_at), np.concatenate(parts)
+
+    def _encode_words(self, low: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(low, TAIL, r"\1 \2\3"))
         coded = split.flatten().dictionary_encode()
         ends = np.asarray(split.offsets, np.int64)
         ends = ends - ends[0]
-        known = self.words(coded.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(known), np.uint16)
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 2
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else np.zeros(0, np.int64)
-        code = np.asarray(coded.indices)
-        length = size[code]
+        place = self._looked_up(coded.dictionary)[np.asarray(coded.indices)]
+        begin = self.ends[place]
+        length = self.ends[place + 1] - begin
         out_at = np.concatenate([[0], np.cumsum(length)])
         rows = len(ends) - 1
         row_at = out_at[ends] + np.arange(rows + 1)
@@ -116,7 +136,7 @@ class Encoder:
         ids[row_at[1:] - 1] = END_ID
         kept = np.ones(len(ids), bool)
         kept[row_at[1:] - 1] = False
-        ids[kept] = flat[np.repeat(begin[code] - out_at[:-1], length) + np.arange(int(out_at[-1]))]
+        ids[kept] = self.ids[np.repeat(begin - out_at[:-1], length) + np.arange(int(out_at[-1]))]
         return row_at, ids
 
 
