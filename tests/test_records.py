@@ -269,7 +269,7 @@ def test_report_stream_resolves_against_stored(spark, tmp_path):
     assert {(r.rel, r.confidence) for r in stream.edges().collect() if r.dst_label == "Person"} == {("CDR_LINK", 2.0)}
 
 
-@pytest.mark.parametrize("name", ["src3", "fmt4", "ext2", "res4", "rel11", "view11", "edit4", "aud4", "gr8"])
+@pytest.mark.parametrize("name", ["src3", "fmt4", "ext2", "res4", "rel11", "view11", "edit2", "edit4", "aud4", "gr8", "res8", "ext3_list"])
 def test_registered_queries_match_sql(spark, name):
     import duckdb
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
+from threadloom.operators.substrings import held_values
 
 
 def submitted_text(reports: DataFrame) -> DataFrame:
@@ -38,6 +39,13 @@ def pattern_mentions(docs: DataFrame, wide: bool = False) -> DataFrame:
     return docs.select(*keep, F.explode(found).alias("_m")).select(*keep, "_m.label", "_m.value")
 
 
+def listed_mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """Names of a list of any length (``name``) that occur anywhere in the text: (.., name)."""
+    everywhere = names.select(F.lit("").alias("group"), F.col("name").alias("value"), F.lit("").alias("tag"))
+    found = held_values(docs.withColumn("_list", F.lit("")), everywhere, "_list", "text")
+    return found.drop("_list", "tag").withColumnRenamed("value", "name")
+
+
 def _tagged(label: str, values: Column) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(label).alias("label"), v.alias("value")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom import rules
 from threadloom.functions import text as tx
 from threadloom.operators import resolve as rs
+from threadloom.operators.substrings import held_values
 from threadloom.operators.upsert import accumulate, entity_rows, latest
 from threadloom.schema import EDGE_COLUMNS, EDGE_KEY
 
@@ -24,8 +25,6 @@ SENTENCE_RULES = [
     ("CAMERA_LOG", "Vehicle", "Location", False),
 ]
 SENTENCE_KEY = ["case_id", "doc_id", "sent_no"]
-# first characters by which values without a number are looked for
-WORD_KEY = 8
 
 
 def fired_triggers(sentence: Column, whole_word: bool = False) -> Column:
@@ -36,46 +35,16 @@ def fired_triggers(sentence: Column, whole_word: bool = False) -> Column:
     return F.array_compact(F.array(*flags))
 
 
-def _windows(run: Column, size: int) -> Column:
-    return F.when(
-        F.length(run) >= size,
-        F.transform(F.sequence(F.lit(1), F.length(run) - (size - 1)), lambda i: F.substring(run, i, F.lit(size))),
-    ).otherwise(F.array().cast("array<string>"))
-
-
 def sentences_holding(sentences: DataFrame, values: DataFrame) -> DataFrame:
     """Which stored values of the same case occur in a sentence as substrings.
 
-    ``values`` is (case_id, label, value). A value with four or more digits in a row occurs only
-    where its whole longest run of digits does; the few other values meet on their first
-    characters. Only windows of lengths that values have are made, the sentence text stays
-    behind, and every candidate is confirmed on the full value.
+    ``values`` is (case_id, label, value). Sentences pass automata over the values of their case;
+    only what they hold is shuffled.
     """
-    runs = F.regexp_extract_all("value", F.lit(r"(?U)\d{4,}"), F.lit(0))
-    longest = F.element_at(F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("n"), r.alias("run")))), 1)["run"]
-    keyed = values.filter("value <> ''").distinct().withColumn("_run", F.when(F.size(runs) > 0, longest))
-    text = F.col("sentence")
-    digits = F.regexp_extract_all(text, F.lit(r"(?U)\d{4,}"), F.lit(0))
-    by_digits = keyed.filter("_run IS NOT NULL").withColumnRenamed("_run", "_sig")
-    wordy = keyed.filter("_run IS NULL").drop("_run").withColumn("_sig", F.left("value", F.lit(WORD_KEY)))
-    made = [
-        _signed(sentences.filter(text.rlike(r"(?U)\d{4}")), by_digits,
-                lambda n: F.flatten(F.transform(digits, lambda run: _windows(run, n)))),
-        _signed(sentences, wordy, lambda n: _windows(text, n)),
-    ]
-    found = made[0].unionByName(made[1]).distinct()
-    return found.join(sentences, SENTENCE_KEY).filter(F.contains(text, F.col("value"))).select(
-        *SENTENCE_KEY, "label", "value"
-    ).distinct()
-
-
-def _signed(sentences: DataFrame, keyed: DataFrame, windows) -> DataFrame:
-    """Sentence keys and values that share ``_sig``; windows that no value has go before the shuffle."""
-    sizes = sorted(r[0] for r in keyed.select(F.length("_sig")).distinct().collect())
-    keys = F.array_distinct(F.concat(F.array().cast("array<string>"), *[windows(n) for n in sizes]))
-    marked = sentences.select(*SENTENCE_KEY, F.explode(keys).alias("_sig"))
-    marked = marked.join(keyed.select("_sig").distinct(), "_sig", "left_semi")
-    return marked.join(keyed, ["case_id", "_sig"]).select(*SENTENCE_KEY, "label", "value")
+    found = held_values(
+        sentences.select(*SENTENCE_KEY, "sentence"),
+        values.select(F.col("case_id").alias("group"), "value", F.col("label").alias("tag")), "case_id", "sentence")
+    return found.select(*SENTENCE_KEY, F.col("tag").alias("label"), "value").distinct()
 
 
 def present_people(named: DataFrame, known: DataFrame) -> DataFrame:

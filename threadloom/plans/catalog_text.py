@@ -14,7 +14,7 @@ from threadloom import schema
 from threadloom.operators.ingest import ingest_reports, submit
 from threadloom.plans.domain import Domain
 from threadloom.plans.sqlbase import query
-from threadloom.rules import ACCOUNT_PATTERNS, DATE_PATTERNS, PERSON_STOP_WORDS, PHONE_PATTERNS_WIDE, PLACE_NOISE, PLATE_PATTERNS_WIDE
+from threadloom.rules import ACCOUNT_PATTERNS, DATE_PATTERNS, PERSON_STOP_WORDS, PHONE_PATTERNS_WIDE, PLACE_NOISE, PLATE_PATTERNS_WIDE, WATCH_LIST
 
 # ---------------------------------------------------------------- mentions
 
@@ -41,6 +41,13 @@ def _sql_list(patterns, flag=""):
     return "list_concat(" + ", ".join(f"regexp_extract_all(plain, '{flag}{p}')" for p in patterns) + ")"
 
 
+def ext3_list(d: Domain):
+    """The watch list and all nations and regions as one table of names."""
+    listed = d.spark.createDataFrame([(name,) for name in WATCH_LIST], "name string")
+    names = listed.unionByName(d.gazetteer).unionByName(d.table("region").select(F.col("r_name").alias("name")))
+    return mn.listed_mentions(_prose(d), names).select("case_id", "doc_id", F.col("name").alias("value"))
+
+
 def ext6(d: Domain):
     forms = F.array(*[F.concat(F.lit(a), F.initcap("p_name"), F.lit(b)) for a, b in FORMS])
     return d.table("part").select("p_partkey", F.posexplode(forms).alias("form", "raw")).select(
@@ -204,6 +211,10 @@ ENTRIES = {
     "ext1": (lambda d: _values(_prose(d), tx.phone_mentions(F.col("text"))), query("SELECT case_id, doc_id, value FROM phones", **ALL_SENTENCES)),
     "ext2": (lambda d: _values(_prose(d), tx.plate_mentions(F.col("text"))), query("SELECT case_id, doc_id, value FROM plates", **ALL_SENTENCES)),
     "ext3": (lambda d: _values(_prose(d), tx.watch_list_mentions(F.col("text"))), query("SELECT case_id, doc_id, value FROM orgs", **ALL_SENTENCES)),
+    "ext3_list": (ext3_list, query("""
+        SELECT case_id, doc_id, name AS value FROM (SELECT * FROM reports UNION ALL SELECT * FROM texts) r
+        JOIN (SELECT unnest([%s]) AS name UNION SELECT n_name FROM nation UNION SELECT r_name FROM region) n ON contains(r.text, n.name)""" % ", ".join(
+            repr(o) for o in WATCH_LIST))),
     "ext4": (lambda d: mn.people(mn.sentence_table(d.reports), d.person_names), query("SELECT case_id, doc_id, sent_no, name FROM people_in")),
     "ext5": (lambda d: mn.places(mn.sentence_table(d.reports), d.gazetteer), query("SELECT case_id, doc_id, sent_no, place AS name FROM places_in")),
     "ext6": (ext6, query("""

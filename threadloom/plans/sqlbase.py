@@ -72,10 +72,15 @@ FRAGMENTS = {
         SELECT src_case AS case_id, src_label AS label, src_id AS id, 'out' AS direction, rel, dst_label AS other_label,
                dst_id AS other_id, dst_case AS other_case, confidence FROM edges
         UNION ALL SELECT dst_case, dst_label, dst_id, 'in', rel, src_label, src_id, src_case, confidence FROM edges""",
+    "holders": """
+        SELECT label, id, list_sort(list(case_id)) AS held FROM entities WHERE label IN ('Phone', 'Vehicle', 'Organization')
+        GROUP BY label, id HAVING count(*) > 1""",
     "exact_links": """
-        SELECT a.label AS type, a.case_id AS case_a, a.id AS id_a, b.case_id AS case_b, b.id AS id_b
-        FROM entities a JOIN entities b ON a.label = b.label AND a.id = b.id AND a.case_id < b.case_id
-        WHERE a.label IN ('Phone', 'Vehicle', 'Organization')""",
+        SELECT type, case_a, id AS id_a, case_b, id AS id_b FROM (
+            SELECT type, id, case_a, unnest(later) AS case_b FROM (
+                SELECT label AS type, id, held[i] AS case_a, held[i + 1:] AS later FROM
+                    (SELECT label, id, held, unnest(range(1, len(held))) AS i FROM holders)))
+        WHERE case_a < case_b""",
     "all_edges": """
         SELECT 'all' AS graph, src_case || ':' || src_id AS src, dst_case || ':' || dst_id AS dst, rel, confidence FROM edges
         UNION ALL SELECT 'all', case_a || ':' || id_a, case_b || ':' || id_b, 'SAME_' || upper(type), 1.0 FROM exact_links""",
@@ -167,6 +172,10 @@ FRAGMENTS = {
 }
 
 
+#: Fragments that several others read; they are computed once a query.
+KEPT = {"entities", "holders", "exact_links", "edges", "trade"}
+
+
 def query(body: str, **extra: str) -> str:
     """``body`` with every fragment it needs, in order, as common table expressions."""
     pool = {**FRAGMENTS, **extra}
@@ -183,7 +192,7 @@ def query(body: str, **extra: str) -> str:
     visit(body)
     if not needed:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({pool[n]})" for n in needed) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'MATERIALIZED ' * (n in KEPT)}({pool[n]})" for n in needed) + "\n" + body
 
 
 # ---------------------------------------------------------------- graph questions over any edge query
