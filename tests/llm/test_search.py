@@ -1,11 +1,13 @@
 import hashlib
 import random
 import re
+import time
 from itertools import combinations
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.llm import decontaminate, fingerprints, minhash, oracle, pii
 
@@ -208,3 +210,29 @@ def test_fingerprints_and_next_documents(spark):
     pairs = {(r.a, r.b) for r in fingerprints.near_pairs(docs.unionByName(docs.filter("doc_id = 110").selectExpr(
         "999 doc_id", "concat(text, ' the market closed today') text", "lang", "source", "n_chars", "score", "kind")), 0.8).collect()}
     assert (110, 999) in pairs
+
+
+def test_running_sums_and_maxima(spark):
+    rows = [(n, [(7 * i) % 11 - 3 for i in range(n)]) for n in (0, 1, 31, 32, 33, 500, 3_000)]
+    df = spark.createDataFrame(rows, "n int, xs array<int>")
+    got = df.select("n", "xs", pii.running(F.col("xs"), lambda x: x, lambda a, b: a + b, 0).alias("sums"),
+                    pii.running(F.col("xs"), lambda x: x * 2, F.greatest, -100).alias("most")).collect()
+    for r in got:
+        assert r.sums == [sum(r.xs[:i]) for i in range(r.n)]
+        assert r.most == [max([-100, *(2 * x for x in r.xs[:i])]) for i in range(r.n)]
+
+
+def test_personal_data_of_texts_with_very_many_spans(spark):
+    """200 kB and more with a span every few characters: same spans, same masking, in little time."""
+    numbers = " ".join(f"{i}" for i in range(20_000, 52_000))
+    mails = " ".join(f"a{i}@b{i}.example" for i in range(16_000)) + " é😀 end"
+    phones = "é" + "+1 234 567 8901, x" * 9_000
+    docs = spark.createDataFrame([(1, numbers), (2, mails), (3, phones), (4, "z" * 300_000 + " a@b.co z")], "doc_id long, text string")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    start = time.time()
+    for r in pii.find(docs).collect():
+        assert r.base_sha256 == hashlib.sha256(base_spans(text[r.doc_id]).encode()).hexdigest()
+    masked = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert time.time() - start < 120
+    assert masked[2] == " ".join(["<EMAIL>"] * 16_000) + " é😀 end" and masked[4] == "z" * 300_000 + " <EMAIL> z"
+    assert masked[3] == "é" + "<PHONE>, x" * 9_000

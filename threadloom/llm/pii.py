@@ -42,26 +42,67 @@ ACCEPT, LEAST_LENGTH = 0.5, 6
 SPAN = "struct<start:int,stop:int,value:string,left:string>"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _places(start: Column, stop: Column) -> Column:
+    """The numbers from ``start`` up to ``stop``; a slice of an array would copy all of it."""
+    return F.when(start < stop, F.sequence(start, stop - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def running(items: Column, measure, combine, zero) -> Column:
+    """For every item what ``combine`` makes of the measures of those before it, an array of numbers.
+
+    Arrays can only grow by copying, so items go in runs of about the square root of their number.
+    """
+    def whole(p: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(p))), F.lit(32)).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / width).cast("int")), lambda c: F.slice(p, c * width + 1, width))
+        return F.when(F.size(p) > 0, _let(runs, over)).otherwise(F.array().cast("array<int>"))
+
+    def prefix(start: Column, values: Column) -> Column:
+        state = "struct<now:int,out:array<int>>"
+        first = F.struct(start.cast("int").alias("now"), F.array().cast("array<int>").alias("out")).cast(state)
+        return F.aggregate(values, first, lambda s, v: F.struct(
+            combine(s["now"], v).alias("now"), F.concat(s["out"], F.array(s["now"])).alias("out")).cast(state), lambda s: s["out"])
+
+    def over(runs: Column) -> Column:
+        measured = F.transform(runs, lambda run: F.transform(run, lambda x: measure(x).cast("int")))
+        return _let(measured, within)
+
+    def within(measured: Column) -> Column:
+        totals = F.transform(measured, lambda run: F.aggregate(run, F.lit(zero).cast("int"), lambda a, b: combine(a, b)))
+        begun = F.arrays_zip(measured.alias("run"), prefix(F.lit(zero), totals).alias("start"))
+        return F.flatten(F.transform(begun, lambda x: prefix(x["start"], x["run"])))
+
+    return _let(items, whole)
+
+
 def located(text: str, pattern: str) -> Column:
     """Array of (start, stop, value, left): matches in order, with up to 60 characters before each."""
-    state = f"struct<at:int,tail:string,out:array<{SPAN}>>"
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(F.col(text), pattern, -1)
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), values.alias("value")), lambda x: x["value"].isNotNull())
 
-    def last(before: Column, more: Column) -> Column:
-        return F.substring(F.concat(before, more), -60, 60)
+    def before(p: Column, gap: Column, i: Column) -> Column:
+        """The text before a match: its gap, and as many matches before that as 60 characters may hold."""
+        some = F.transform(_places(F.greatest(i - 60, F.lit(0)), i), lambda j: F.concat(F.get(p, j)["gap"], F.get(p, j)["value"]))
+        return F.substring(F.when(F.length(gap) >= 60, gap).otherwise(F.concat(F.array_join(some, ""), gap)), -60, 60)
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["gap"])
-        stop = start + F.length(x["value"])
-        left = last(done["tail"], x["gap"])
-        span = F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"), left.alias("left"))
-        return F.struct(
-            stop.alias("at"), last(left, x["value"]).alias("tail"), F.concat(done["out"], F.array(span)).alias("out")).cast(state)
+    def spans_of(p: Column) -> Column:
+        ends = running(p, lambda x: F.length(x["gap"]) + F.length(x["value"]), lambda a, b: a + b, 0)
+        placed = F.arrays_zip(p.alias("own"), ends.alias("at"))
 
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), values.alias("value")), lambda x: x["value"].isNotNull())
-    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{SPAN}>").alias("out")).cast(state)
-    return F.aggregate(pairs, none, step, lambda done: done["out"])
+        def span(x: Column, i: Column) -> Column:
+            gap, value = x["own"]["gap"], x["own"]["value"]
+            start = x["at"] + F.length(gap)
+            return F.struct(start.alias("start"), (start + F.length(value)).alias("stop"), value.alias("value"), before(p, gap, i).alias("left"))
+
+        return F.transform(placed, span)
+
+    return _let(pairs, spans_of).cast(f"array<{SPAN}>")
 
 
 def _word(left: Column) -> Column:
@@ -148,8 +189,24 @@ def _instances(found: DataFrame, spans_: str, kind: Column) -> DataFrame:
 
 
 def _apart(spans_: str) -> Column:
-    """The spans of an array that meet no base span."""
-    return F.filter(spans_, lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    """The spans of an array that meet no base span, found in one sweep over both by start."""
+    far = (1 << 31) - 1
+
+    def marked(x: Column, own: bool) -> Column:
+        text = lambda name: x[name] if own else F.lit("")
+        return F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["stop"].alias("stop"), text("value").alias("value"), text("left").alias("left"))
+
+    both = F.array_sort(F.concat(F.transform("base", lambda x: marked(x, False)), F.transform(spans_, lambda x: marked(x, True))))
+
+    def swept(p: Column) -> Column:
+        reached = running(p, lambda x: F.when(x["own"], 0).otherwise(x["stop"]), F.greatest, 0)
+        begun = F.reverse(running(F.reverse(p), lambda x: F.when(x["own"], far).otherwise(x["start"]), F.least, far))
+        free = F.filter(F.arrays_zip(p.alias("x"), reached.alias("reached"), begun.alias("begun")), lambda z: (
+            z["x"]["own"] & (z["reached"] <= z["x"]["start"]) & (z["begun"] >= z["x"]["stop"])))
+        return F.transform(free, lambda z: F.struct(
+            z["x"]["start"].alias("start"), z["x"]["stop"].alias("stop"), z["x"]["value"].alias("value"), z["x"]["left"].alias("left")))
+
+    return F.when(F.size("base") == 0, F.col(spans_)).otherwise(_let(both, swept).cast(f"array<{SPAN}>"))
 
 
 def occurrences(found: DataFrame) -> DataFrame:
@@ -158,7 +215,7 @@ def occurrences(found: DataFrame) -> DataFrame:
     return _instances(found, "base", F.col("t.kind")).unionByName(_instances(tokens, "tokens", F.lit(None).cast("string")))
 
 
-def grouped(docs: DataFrame, seeds: DataFrame) -> DataFrame | None:
+def grouped(docs: DataFrame, seeds: DataFrame, found: DataFrame, work: Workspace) -> DataFrame | None:
     """Digits in groups, apart from base spans, in every shape that enough seeds after one word have; overlaps stay."""
     own = seeds.filter("kind is not null").filter(F.rlike("shape", F.lit(r"[\x20()]")))
     shapes = own.groupBy("pattern", "shape").agg(F.countDistinct("value").alias("n")).filter(F.col("n") >= SEEDS).select("shape").distinct()
@@ -178,10 +235,15 @@ def grouped(docs: DataFrame, seeds: DataFrame) -> DataFrame | None:
             x["at"]["start"].alias("start"), (x["at"]["start"] + F.length(s)).alias("stop"), F.substring(run, F.lit(1), F.length(s)).alias("value"),
             _word(x["at"]["left"]).alias("left")))
 
-    found = rows.select(
-        "doc_id", F.xxhash64("text").alias("text_key"), base_spans("text").alias("base"),
+    groups = rows.select(
+        "doc_id", F.xxhash64("text").alias("text_key"),
         F.flatten(F.transform(F.arrays_zip(located("text", pattern).alias("at"), tails.alias("tail")), windows)).alias("groups"))
-    return _instances(found.select("doc_id", "text_key", _apart("groups").alias("groups")), "groups", F.lit(None).cast("string"))
+    groups = work.cut(groups.filter(F.size("groups") > 0), "grouped")
+    bases = found.filter(F.size("base") > 0).select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "base").dropDuplicates(
+        ["own_id", "own_key"])
+    held = groups.join(bases, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")), "left")
+    held = held.withColumn("base", F.coalesce("base", F.array().cast(dict(found.dtypes)["base"])))
+    return _instances(held.select("doc_id", "text_key", _apart("groups").alias("groups")), "groups", F.lit(None).cast("string"))
 
 
 def trusted(tokens: DataFrame, work: Workspace) -> DataFrame:
@@ -208,7 +270,7 @@ def spans(docs: DataFrame) -> DataFrame:
     work = Workspace(docs.sparkSession, "pii")
     found = scan(docs, work)
     tokens = work.cut(occurrences(found), "tokens")
-    groups = grouped(docs, tokens)
+    groups = grouped(docs, tokens, found, work)
     if groups is not None:
         tokens = tokens.unionByName(work.cut(groups, "groups"))
     added = tokens.filter("kind is null").drop("kind").join(trusted(tokens, work), ["pattern", "value"])
@@ -234,17 +296,31 @@ def find(docs: DataFrame) -> DataFrame:
     return spans(docs).select("doc_id", *counts, F.sha2(_listed("base").cast("binary"), 256).alias("base_sha256"), _listed("all").alias("spans"))
 
 
+#: Characters of the pieces that a text is cut into, in two steps, so that no place is far from where a piece begins.
+COARSE, FINE = 1 << 18, 1 << 12
+
+
+def _pieces(text: Column, width: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / width).cast("int")), lambda i: F.substring(text, i * width + 1, F.lit(width)))
+
+
 def masked(text: str, spans_: str) -> Column:
     """The text with every span (or run of overlapping spans) replaced by its kind in angle brackets."""
-    state = "struct<at:int,out:string>"
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(state)
+    fine = F.flatten(F.transform(_pieces(F.col(text), COARSE), lambda part: F.slice(_pieces(part, FINE), 1, COARSE // FINE)))
+
+    def between(pieces: Column, start: Column, stop: Column) -> Column:
+        first = F.shiftright(start, 12)
+        joined = F.array_join(F.transform(_places(first, F.shiftright(stop, 12) + 1), lambda j: F.get(pieces, j)), "")
+        return F.substring(joined, start.bitwiseAND(FINE - 1) + 1, stop - start)
 
-    def step(done: Column, x: Column) -> Column:
-        before = F.substring(F.col(text), done["at"] + 1, x["start"] - done["at"])
-        out = F.when(x["start"] >= done["at"], F.concat(done["out"], before, F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], x["stop"]).alias("at"), out.alias("out")).cast(state)
+    def joined(pieces: Column) -> Column:
+        reached = running(F.col(spans_), lambda x: x["stop"], F.greatest, 0)
+        kept = F.filter(F.arrays_zip(F.col(spans_).alias("x"), reached.alias("at")), lambda z: z["x"]["start"] >= z["at"])
+        parts = F.transform(kept, lambda z: F.concat(between(pieces, z["at"], z["x"]["start"]), F.lit("<"), F.upper(z["x"]["kind"]), F.lit(">")))
+        end = F.array_max(F.transform(spans_, lambda x: x["stop"]))
+        return F.concat(F.array_join(parts, ""), between(pieces, end, F.length(F.col(text))))
 
-    return F.aggregate(spans_, start, step, lambda done: F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, F.length(text))))
+    return F.when(F.size(spans_) > 0, _let(fine, joined)).otherwise(F.col(text))
 
 
 def mask(docs: DataFrame) -> DataFrame:
