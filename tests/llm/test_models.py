@@ -1,3 +1,6 @@
+import time
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +130,62 @@ def test_chain_likelihood_and_viterbi_agree_with_enumeration():
 
     best = max(product((0, 1), repeat=len(seq)), key=value)
     assert [int(x) for x in model.decode(seq)] == list(best)
+
+
+def test_broken_and_deep_pages_take_linear_time():
+    """200 kB pages that a scan from every bracket, or a walk over all ancestors, would not get through."""
+    parts = ["<a ", "<!", "<div>x", '<a "', "<svg><script>", "<x\"y'z", "<b>", "</b><p>", "<ul class=c><li>"]
+    start = time.process_time()
+    for part in parts:
+        page = part * (200_000 // len(part))
+        html.features(html.blocks(page))
+        html.features(html.blocks(page + ">" + "</div>" * 1000 + '"'))
+    assert time.process_time() - start < 60
+    deep = "<nav>" + "<div>" * 100 + "Home" + "</div>" * 100 + "</nav><article><p>Text <b>here</b></article>"
+    own = html.features(html.blocks(deep))
+    assert "in=nav" in own[0] and "other" in own[0] and "in=nav" not in own[1]
+    assert [b.text for b in html.blocks('<p title="a > b">one<p>two <i>x</i><!-- <p> --><br>y</p> <b>z')] == ["one", "two x y", "z"]
+
+
+def test_sample_of_pages_is_bounded_under_repeats(spark):
+    rows = [(i, f"u{i}", "<body><nav>menu</nav><article><p>same</p></article></body>") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    model = html.fit(pages, bound=20)
+    assert {r.text for r in html.extract(pages, model).collect()} == {"same"}
+
+
+def test_chain_gradient_equals_enumeration():
+    """One step of training against the gradient summed over all labelings."""
+    from itertools import product
+
+    seq = html.blocks("<nav>a</nav><p>b c.</p><p>d, e</p>")
+    pages = [(seq, [False, True, True]), (seq[1:], [True, False])]
+    names = [[html.features(s) for s, _ in pages]]
+    known = [f for f, n in Counter(f for own in names[0] for fs in own for f in fs).items() if n > 1]
+
+    def score(flat, own, labels):
+        w, stay, first = flat[:-6], flat[-6:-2].reshape(2, 2), flat[-2:]
+        gain = sum(w[known.index(f)] for fs, y in zip(own, labels) if y for f in fs if f in known)
+        return gain + first[labels[0]] + sum(stay[a, b] for a, b in zip(labels, labels[1:]))
+
+    def loss(flat):
+        total = 0.0
+        for own, (_, labels) in zip(names[0], pages):
+            z = np.logaddexp.reduce([score(flat, own, y) for y in product((0, 1), repeat=len(labels))])
+            total += z - score(flat, own, [int(y) for y in labels])
+        return total / sum(len(labels) for _, labels in pages) + 0.5 * 1e-4 * (flat @ flat)
+
+    def flat_of(model):
+        return np.concatenate([[model.weight[f] for f in known], model.stay.reshape(-1), model.start])
+
+    # Adam's first step is the sign of the gradient; after it, a second step shows the gradient's size
+    one = flat_of(html.train(pages, rounds=1, rate=1e-3))
+    at = np.zeros(len(known) + 6)
+    numeric = np.array([(loss(at + e) - loss(at - e)) / 2e-5 for e in 1e-5 * np.eye(len(at))])
+    moved = np.abs(numeric) > 1e-6
+    assert (np.sign(one[moved]) == -np.sign(numeric[moved])).all()
+    two = flat_of(html.train(pages, rounds=2, rate=1e-3))
+    later = np.array([(loss(one + e) - loss(one - e)) / 2e-5 for e in 1e-5 * np.eye(len(at))])
+    first, second = (0.9 * 0.1 * numeric + 0.1 * later) / (1 - 0.81), (0.999 * 0.001 * numeric ** 2 + 0.001 * later ** 2) / (1 - 0.999 ** 2)
+    want = one - 1e-3 * first / (np.sqrt(second) + 1e-8)
+    assert np.allclose(two[moved], want[moved], atol=1e-6)

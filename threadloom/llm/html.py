@@ -48,99 +48,157 @@ OTHER = frozenset("""nav menu header footer aside sidebar side ad ads advert adv
  popup modal form login signup subscribe newsletter comment comments reply discussion share social related breadcrumb breadcrumbs pagination
  pager widget copyright disclaimer toolbar search masthead topbar""".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/<>]*)")
+_STOP = re.compile("[<>\"']")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+#: Ancestors that a block lists, and those of them whose class and id words (so many each) are features. Farther ones
+#: count by their kind alone, so that a page costs time in proportion to its length however deep it nests.
+LISTED, NEAR, NAMES = 64, 6, 16
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]  # (tag, class and id words) from the page down
+    path: tuple[tuple[str, tuple[str, ...]], ...]  # (tag, class and id words) of the LISTED innermost ancestors, outer first
     linked: int  # characters inside links
-
-
-def _past(page: str, name: str, at: int) -> int:
-    """Where the page goes on after the close tag of a silent element whose content begins at ``at``; -1 without one."""
-    m = re.compile(rf"</{re.escape(name)}(?![^\s/>])", re.I).search(page, at)
-    if not m:
-        return -1
-    if name in RAW:
-        return page.find(">", m.end()) + 1 or len(page)
-    while m := _TOKEN.search(page, at):
-        at = m.end()
-        inner = (m[2] or "").lower()
-        if m[1] and inner == name:
-            return at
-        if not m[1] and inner in RAW and not m[3].endswith("/"):
-            at = max(at, _past(page, inner, at))
-    return -1
+    said: frozenset[str] | None = None  # what all ancestors say; by default, what the listed ones do
+
+    def __post_init__(self):
+        if self.said is None:
+            self.said = frozenset(kind for name, named in self.path for kind in kinds(name, named))
+
+
+def kinds(name: str, named: tuple[str, ...]) -> list[str]:
+    """What an ancestor says of the text in it."""
+    own = [f"in={name}"] if name in BLOCK or name in OTHER else []
+    if name in OTHER or OTHER.intersection(named):
+        own.append("other")
+    if name in ("article", "main") or "content" in named or "article" in named or "post" in named or "entry" in named:
+        own.append("body")
+    return own
+
+
+class _Scanner:
+    """Tags of a page from the left; no place is looked at more than a few times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "<>\"'"}
+        self.endless: set[str] = set()
+
+    def _tag_end(self, at: int) -> int:
+        """Behind the first > outside quotes; 0 if another tag begins before it or a quote stays open."""
+        while m := _STOP.search(self.page, at):
+            if m[0] == ">":
+                return m.end()
+            if m[0] == "<" or m.end() > self.last[m[0]]:
+                return 0
+            at = self.page.index(m[0], m.end()) + 1
+        return 0
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) of the next tag; comments and declarations have no name."""
+        page = self.page
+        while 0 <= (start := page.find("<", at)):
+            if page.startswith("<!--", start):
+                stop = page.find("-->", start + 4)
+                return start, stop + 3 if stop >= 0 else len(page), False, "", ""
+            if start > self.last[">"]:
+                return None
+            if page[start + 1] in "!?":
+                return start, page.index(">", start) + 1, False, "", ""
+            m = _NAME.match(page, start + 1)
+            if m and (stop := self._tag_end(m.end())):
+                return start, stop, bool(m[1]), m[2].lower(), page[m.end():stop - 1]
+            at = start + 1
+        return None
+
+    def past(self, name: str, at: int) -> int:
+        """Where the page goes on after the close tag of a silent element whose content begins at ``at``; -1 without one."""
+        if name in self.endless:
+            return -1
+        found = -1
+        if m := re.compile(rf"</{re.escape(name)}(?![^\s/>])", re.I).search(self.page, at):
+            if name in RAW:
+                found = self.page.find(">", m.end()) + 1 or len(self.page)
+            else:
+                while tag := self.next(at):
+                    _, at, closing, inner, rest = tag
+                    if closing and inner == name:
+                        found = at
+                        break
+                    if not closing and inner in RAW and not rest.endswith("/"):
+                        at = max(at, self.past(inner, at))
+        if found < 0:
+            self.endless.add(name)
+        return found
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    said: list[frozenset[str]] = [frozenset()]  # of the ancestors up to each one
+    opened: Counter[str] = Counter()
     run: list[str] = []
-    links = linked = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", entities.unescape("".join(run))).strip()
         if text:
-            out.append(Block(text, tuple(stack), linked))
+            out.append(Block(text, tuple(stack[-LISTED:]), linked, said[-1]))
         run.clear()
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
         run.append(text)
-        if links:
+        if opened["a"]:
             linked += len(text)
 
     def close(at: int) -> None:
-        nonlocal links
-        links -= sum(name == "a" for name, _ in stack[at:])
-        del stack[at:]
-
-    at = 0
-    endless: set[str] = set()
-    while m := _TOKEN.search(page, at):
-        add(page[at:m.start()])
-        at = m.end()
-        if not m[2]:
+        opened.subtract(name for name, _ in stack[at:])
+        del stack[at:], said[at + 1:]
+
+    at, scanner = 0, _Scanner(page)
+    while tag := scanner.next(at):
+        start, stop, closing, name, rest = tag
+        add(page[at:start])
+        at = stop
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+        if closing:
             if name in BLOCK:
                 flush()
-            if place >= 0:
-                close(place)
+            if opened[name]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name in BLOCK:
             flush()
             while stack and name in CLOSES.get(stack[-1][0], ()):
                 close(len(stack) - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" and name in CLOSES["p"]:
-                    close(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+            if opened["p"] and name in CLOSES["p"]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == "p":
+                        close(i)
+                    if i >= len(stack) or stack[i][0] in BLOCK:
+                        break
         elif name == "br":
             add(" ")
-        if name in SILENT and not m[3].endswith("/"):
-            past = -1 if name in endless else _past(page, name, at)
-            if past < 0:
-                endless.add(name)
-            at = max(at, past)
+        if name in SILENT and not rest.endswith("/"):
+            at = max(at, scanner.past(name, at))
             continue
-        if name not in VOID and not m[3].endswith("/"):
-            words = tuple(w for g in _NAMED.findall(m[3]) for w in _WORD.findall("".join(g).lower()))
+        if name not in VOID and not rest.endswith("/"):
+            words = tuple(w for g in _NAMED.findall(rest) for w in _WORD.findall("".join(g).lower()))
             stack.append((name, words))
-            links += name == "a"
+            own = kinds(name, words)
+            said.append(said[-1] if said[-1].issuperset(own) else said[-1].union(own))
+            opened[name] += 1
     add(page[at:])
     flush()
     return out
@@ -166,13 +224,10 @@ def features(seq: list[Block]) -> list[list[str]]:
             own.append("bottom")
         if "©" in text or "(c)" in text.lower():
             own.append("copyright")
-        for name, named in b.path[-6:]:
+        own += sorted(b.said)
+        for name, named in b.path[-NEAR:]:
             own.append(f"in={name}")
-            own += [f"name={w}" for w in named[:8]]
-            if OTHER.intersection(named) or name in OTHER:
-                own.append("other")
-            if name in ("article", "main") or "content" in named or "article" in named or "post" in named or "entry" in named:
-                own.append("body")
+            own += [f"name={w}" for w in named[:NAMES]]
         out.append(list(dict.fromkeys(own)))
     return out
 
@@ -216,7 +271,7 @@ class Model:
 def train(pages: list[tuple[list[Block], list[bool]]], rounds: int = 120, rate: float = 0.1, decay: float = 1e-4) -> Model:
     """Maximum likelihood by forward-backward over all pages at once (padded to the longest), with Adam."""
     counts = Counter(f for seq, _ in pages for own in features(seq) for f in own)
-    place = {f: i for i, (f, n) in enumerate(counts.items()) if n > 1}
+    place = {f: i for i, f in enumerate(f for f, n in counts.items() if n > 1)}
     n, longest = len(pages), max(len(seq) for seq, _ in pages)
     cell, feature = [], []
     y, mask = np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
@@ -289,14 +344,10 @@ LEAVES = [(("h2", ()),), (("h3", ()),), (("ul", ()), ("li", ())), (("ol", ()), (
           (("table", ()), ("tr", ()), ("td", ())), (("div", ()),), (("pre", ()),)]
 
 
-def _is_other(b: Block) -> bool:
-    return any(name in OTHER or OTHER.intersection(named) for name, named in b.path)
-
-
 def labelled(page: str) -> tuple[list[Block], list[bool]] | None:
     """Blocks and labels of a page that has an article element and text outside it."""
     seq = blocks(page)
-    labels = [any(name == "article" for name, _ in b.path) and not _is_other(b) for b in seq]
+    labels = ["in=article" in b.said and "other" not in b.said for b in seq]
     return (seq, labels) if any(labels) and not all(labels) else None
 
 
@@ -345,11 +396,10 @@ def bare(seq: list[Block], labels: list[bool]) -> tuple[list[Block], list[bool]]
 
 
 def fit(pages: DataFrame, bound: int = PAGES, seed: int = 11) -> Model:
-    """Train on at most about ``bound`` pages of the table and on their rewritten forms."""
-    own = pages.select("html").filter("html is not null")
-    total = own.count()
-    if total > bound:
-        own = own.filter(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < int((1 << 20) * bound / total))
+    """Train on ``bound`` pages of the table, drawn by hash, and on their rewritten forms."""
+    own = pages.filter("html is not null")
+    drawn = F.xxhash64(*[F.col(c).cast("string") for c in ("page_id", "url", "html") if c in pages.columns])
+    own = own.select("html", drawn.alias("drawn")).orderBy("drawn").limit(bound)
     sample = [x for r in own.collect() if (x := labelled(r["html"]))] or [labelled(SEED)] * 20
     draw = random.Random(seed)
     sample.sort(key=lambda x: x[0][0].text)
