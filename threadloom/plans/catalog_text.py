@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions import scoring, text as tx
+from threadloom.operators import boundaries as bd
 from threadloom.operators import mentions as mn
 from threadloom.operators import relate as rl
 from threadloom.operators import resolve as rs
@@ -207,6 +208,60 @@ ALL_SENTENCES = {"reports": """
            || ',000 to ' || b || ' via ' || org || '. ' || a || ', who owns car ' || plate || ', was seen at ' || place
            || '. Mr. ' || b || ' uses phone ' || phone_b || '.' AS text FROM report_parts) UNION ALL SELECT * FROM texts"""}
 
+_TYPE = r"regexp_replace(regexp_replace(lower({0}), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.]+$', '', 'g'), '[^\p{{L}}\p{{N}}]+$', '')".format
+_LOGS = "({hits} * ln({p}) + ({misses}) * ln(1 - {p}))".format
+_SOME = "CASE WHEN {p} > 0 AND {p} < 1 THEN {logs} ELSE 0 END".format
+
+
+def _part(hits: str, misses: str, p: str) -> str:
+    return _SOME(p=f"({p})", logs=_LOGS(hits=hits, misses=misses, p=f"({p})"))
+
+
+LEARNED = {
+    "all_tokens": r"SELECT unnest(regexp_split_to_array(text, '\s+')) AS token FROM reports",
+    "seen_words": rf"""
+        SELECT {_TYPE('token')} AS word, count(*) AS n,
+               count(*) FILTER (regexp_matches(regexp_replace(lower(token), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.]+$', '', 'g'), '[\p{{L}}\p{{N}}]\.$')) AS n_period
+        FROM all_tokens WHERE regexp_matches({_TYPE('token')}, '\p{{L}}') GROUP BY 1""",
+    "token_totals": "SELECT sum(n)::DOUBLE AS tokens, sum(n_period)::DOUBLE AS periods, periods / tokens AS p FROM seen_words",
+    "scored": """
+        SELECT word, n, n_period, 2 * (n_period * ln(CAST(0.99 AS DOUBLE)) + (n - n_period) * ln(1 - CAST(0.99 AS DOUBLE)) - n_period * ln(p) - (n - n_period) * ln(1 - p))
+               * exp(-length(replace(word, '.', ''))) * (length(word) - length(replace(word, '.', '')) + 1)
+               * pow(length(replace(word, '.', ''))::DOUBLE, -(n - n_period)) AS score
+        FROM seen_words, token_totals WHERE n_period > 0""",
+    "short_words": "SELECT list(word) AS known FROM scored WHERE score >= 0.3",
+    "word_lists": r"SELECT list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '') AS ts FROM reports WHERE text IS NOT NULL",
+    "word_pairs": "SELECT ts[i] AS here, ts[i - 1] AS before FROM (SELECT ts, unnest(range(2, len(ts) + 1)) AS i FROM word_lists)",
+    "first_words": rf"""
+        SELECT {_TYPE('here')} AS word, count(*)::DOUBLE AS ab FROM word_pairs, short_words
+        WHERE regexp_matches(before, '[.!?]$') AND regexp_matches(here, '^\p{{Lu}}') AND NOT list_contains(known, {_TYPE('before')}) GROUP BY 1""",
+    "first_scored": f"""
+        SELECT word, 2 * ({_part('ab', 'a - ab', 'ab / a')} + {_part('(b - ab)', 't - a - b + ab', '(b - ab) / (t - a)')}
+                          - {_part('ab', 'a - ab', 'b / t')} - {_part('(b - ab)', 't - a - b + ab', 'b / t')}) AS ratio
+        FROM (SELECT f.word, ab, n::DOUBLE AS b, periods AS a, tokens AS t FROM first_words f JOIN seen_words USING (word), token_totals)
+        WHERE ab / a > (b - ab) / (t - a)""",
+    "start_words": "SELECT list(word) AS begin_words FROM first_scored WHERE ratio >= 30",
+    "cut_texts": r"SELECT case_id, doc_id, string_split(regexp_replace(text, '([.!?]+)(\s+)', '\1\2' || chr(2), 'g'), chr(2)) AS ps FROM reports WHERE text IS NOT NULL",
+    "closed_texts": rf"""
+        SELECT case_id, doc_id, array_to_string(list_transform(ps, lambda p, i: p || CASE
+            WHEN regexp_matches(regexp_extract(p, '(\S+)\s*$', 1), '[\p{{L}}\p{{N}}]\.$')
+                 AND (list_contains(known, {_TYPE(r"regexp_extract(p, '(\S+)\s*$', 1)")}) OR regexp_matches({_TYPE(r"regexp_extract(p, '(\S+)\s*$', 1)")}, '^\p{{L}}$'))
+                 AND NOT (coalesce(regexp_matches(ps[i + 1], '^\s*\p{{Lu}}'), false)
+                          AND coalesce(list_contains(begin_words, {_TYPE(r"regexp_extract(ps[i + 1], '^\s*(\S+)', 1)")}), false)
+                          AND NOT regexp_matches({_TYPE(r"regexp_extract(p, '(\S+)\s*$', 1)")}, '^\p{{L}}$')) THEN '' ELSE chr(2) END), '') AS joined
+        FROM cut_texts, short_words, start_words""",
+    "learned": r"""
+        SELECT case_id, doc_id, unnest(parts) AS sentence, unnest(range(len(parts))) AS sent_no FROM (
+            SELECT case_id, doc_id, list_filter(list_transform(string_split(joined, chr(2)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS parts
+            FROM closed_texts)""",
+}
+
+
+def ext17_abbreviations(d: Domain):
+    scored = bd.abbreviations(Workspace(d.spark, "words").cut(bd.word_counts(_prose(d)), "words"))
+    return scored.select("word", "n", "n_period", F.round("score", 3).alias("score"))
+
+
 ENTRIES = {
     "ext1": (lambda d: _values(_prose(d), tx.phone_mentions(F.col("text"))), query("SELECT case_id, doc_id, value FROM phones", **ALL_SENTENCES)),
     "ext2": (lambda d: _values(_prose(d), tx.plate_mentions(F.col("text"))), query("SELECT case_id, doc_id, value FROM plates", **ALL_SENTENCES)),
@@ -258,6 +313,8 @@ ENTRIES = {
             UNION ALL SELECT case_id, doc_id, 'Phone', value FROM phones UNION ALL SELECT case_id, doc_id, 'Vehicle', value FROM plates
             UNION ALL SELECT case_id, doc_id, 'Organization', value FROM orgs)) GROUP BY case_id, doc_id""")),
     "ext17": (lambda d: mn.sentence_table(_prose(d)), query("SELECT case_id, doc_id, sent_no, sentence FROM sentences", **ALL_SENTENCES)),
+    "ext17_abbreviations": (ext17_abbreviations, query("SELECT word, n, n_period, round(score, 3) + 0 AS score FROM scored", **ALL_SENTENCES, **LEARNED)),
+    "ext17_learned": (lambda d: bd.learned_sentences(_prose(d)), query("SELECT case_id, doc_id, sent_no, sentence FROM learned", **ALL_SENTENCES, **LEARNED)),
     "res1": (res1, query("""
         SELECT DISTINCT p_name, other, round(CASE WHEN lower(trim(other)) = p_name THEN 100
             ELSE 0.4 * 100 * 2 * greatest(length(w1), length(w2)) / (2 * length(p_name)) + 60 END, 6) AS score
