@@ -14,8 +14,9 @@ from threadloom.operators.ingest import ingest_reports
 from threadloom.plans import catalog_text
 from threadloom.sources import delimited as dl
 from threadloom.sources.store import CaseStore
-from threadloom.streaming import calls as sc
+from threadloom.streaming import calls as sc, chained
 from threadloom.streaming.audit import AuditStream
+from threadloom.streaming.chained import ChainedStream
 from threadloom.streaming.reports import ReportStream
 
 EDGE = "src_case string, src_label string, src_id string, rel string, dst_case string, dst_label string, dst_id string, confidence double"
@@ -257,6 +258,32 @@ def test_audit_stream_continues_chains(spark, tmp_path):
     assert all(r.valid for r in au.verify(stream.rows(), check_prev_hash=True, check_gaps=True).collect())
 
 
+def test_keyed_audit_stream_equals_batch_over_restarts_and_a_repeated_batch(spark, tmp_path):
+    _, events = chain_events(spark)
+    parts = [r.n for r in events.select("n").orderBy("n").collect()]
+    cuts = [parts[0], parts[len(parts) // 3], parts[2 * len(parts) // 3], parts[-1] + 1]
+    stream = ChainedStream(spark, str(tmp_path / "chained"), ["n"])
+
+    def run():
+        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        stream.start(source).awaitTermination()
+
+    provider = spark.conf.get(chained.PROVIDER)
+    for low, high in zip(cuts, cuts[1:]):  # each run is a restart from the checkpoint
+        events.filter((F.col("n") >= low) & (F.col("n") < high)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run()
+    assert spark.conf.get(chained.PROVIDER) == provider
+    none = spark.createDataFrame([], schema.AUDIT)
+    want = sorted(map(tuple, au.append(none, events, ["n"]).collect()))
+    assert sorted(map(tuple, stream.rows().collect())) == want
+    commits = sorted((tmp_path / "chained" / "checkpoint" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for crc in (tmp_path / "chained" / "checkpoint" / "commits").glob(".*.crc"):
+        crc.unlink()
+    commits[-1].unlink()  # the last batch was not committed: it runs again
+    run()
+    assert sorted(map(tuple, stream.rows().collect())) == want
+
+
 def test_report_stream_resolves_against_stored(spark, tmp_path):
     docs = spark.createDataFrame([("c", "1", "Anil Rao called Ravi Das from 9012345678."), ("c", "2", "Ravi Das called Anil Rao.")],
                                  "case_id string, doc_id string, text string")

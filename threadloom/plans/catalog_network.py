@@ -14,6 +14,7 @@ from threadloom.plans.domain import Domain
 from threadloom.plans.sqlbase import query
 from threadloom.streaming import calls as sc
 from threadloom.streaming.audit import AuditStream
+from threadloom.streaming.chained import ChainedStream
 from threadloom.streaming.reports import ReportStream
 
 
@@ -154,6 +155,15 @@ def str3(d: Domain):
     return stream.rows().select("case_id", "seq", "action", "prev_hash", "hash")
 
 
+def str3_keyed(d: Domain):
+    stream = ChainedStream(d.spark, Workspace(d.spark, "stream").path("chained"), ["ts", "event_id"])
+    rows = _event_stream(d).select(
+        F.col("user_id").cast("string").alias("case_id"), F.col("ts").cast("string").alias("ts"), F.col("event_type").alias("action"),
+        F.col("props").alias("details"), "event_id")
+    stream.start(rows).awaitTermination()
+    return stream.rows().select("case_id", "seq", "action", "prev_hash", "hash")
+
+
 CALLS = sb.graph_ctes("call_graph")
 CLOSEST = sb.graph_ctes("closest_calls")
 ALL = sb.graph_ctes("all_edges")
@@ -221,4 +231,5 @@ ENTRIES = {
         SELECT src_case, rel, count(*) AS edge_count, CAST(sum(n) AS DOUBLE) AS sightings FROM (
             SELECT case_id AS src_case, rel, src_label, src_id, dst_label, dst_id, count(*) AS n FROM sightings GROUP BY ALL) GROUP BY ALL""")),
     "str3": (str3, query("SELECT case_id, seq, action, prev_hash, hash FROM chain")),
+    "str3_keyed": (str3_keyed, query("SELECT case_id, seq, action, prev_hash, hash FROM chain")),
 }
