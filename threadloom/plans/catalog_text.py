@@ -9,6 +9,7 @@ from threadloom.operators import boundaries as bd
 from threadloom.operators import mentions as mn
 from threadloom.operators import relate as rl
 from threadloom.operators import resolve as rs
+from threadloom.operators import tagger
 from threadloom.operators import upsert as up
 from threadloom.operators.cutting import Workspace
 from threadloom import schema
@@ -49,6 +50,14 @@ def ext3_list(d: Domain):
     return mn.listed_mentions(_prose(d), names).select("case_id", "doc_id", F.col("name").alias("value"))
 
 
+def ext4_tagged(d: Domain):
+    """People and places of all reports by a tagger that half of the names and places have taught."""
+    split = Workspace(d.spark, "tagger").cut(mn.sentence_table(d.reports), "sentences")
+    half = lambda names: names.filter(F.pmod(F.crc32("name"), F.lit(2)) == 0)
+    model = tagger.fit(split, half(d.person_names), half(d.gazetteer))
+    return tagger.tagged_mentions(split, model).select("case_id", "doc_id", "sent_no", "label", "value")
+
+
 def ext6(d: Domain):
     forms = F.array(*[F.concat(F.lit(a), F.initcap("p_name"), F.lit(b)) for a, b in FORMS])
     return d.table("part").select("p_partkey", F.posexplode(forms).alias("form", "raw")).select(
@@ -272,6 +281,12 @@ ENTRIES = {
             repr(o) for o in WATCH_LIST))),
     "ext4": (lambda d: mn.people(mn.sentence_table(d.reports), d.person_names), query("SELECT case_id, doc_id, sent_no, name FROM people_in")),
     "ext5": (lambda d: mn.places(mn.sentence_table(d.reports), d.gazetteer), query("SELECT case_id, doc_id, sent_no, place AS name FROM places_in")),
+    "ext4_features": (lambda d: tagger.feature_counts(mn.sentence_table(d.reports)), query(r"""
+        SELECT shape_of(ts[i]) AS shape, lower(right(ts[i], 3)) AS ending, coalesce(lower(ts[i - 1]), '<s>') AS before, count(*) AS n
+        FROM (SELECT ts, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT regexp_extract_all(sentence, '%s') AS ts FROM sentences)) GROUP BY ALL""".replace(
+            "shape_of(ts[i])", "replace(regexp_replace(regexp_replace(regexp_replace(ts[i], '\\p{Lu}+', chr(1), 'g'), '\\p{L}+', 'a', 'g'), '\\p{N}+', '9', 'g'), chr(1), 'A')"
+        ) % tagger.TOKEN.replace("'", "''"))),
+    "ext4_tagged": (ext4_tagged, None),
     "ext6": (ext6, query("""
         SELECT p_partkey, form, CASE WHEN form = 4 THEN 'Dr. ' || name ELSE name END AS name FROM titled, (SELECT unnest(range(5)) AS form)""")),
     "ext7": (
