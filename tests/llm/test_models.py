@@ -189,3 +189,74 @@ def test_chain_gradient_equals_enumeration():
     first, second = (0.9 * 0.1 * numeric + 0.1 * later) / (1 - 0.81), (0.999 * 0.001 * numeric ** 2 + 0.001 * later ** 2) / (1 - 0.999 ** 2)
     want = one - 1e-3 * first / (np.sqrt(second) + 1e-8)
     assert np.allclose(two[moved], want[moved], atol=1e-6)
+
+
+def test_language_scores_equal_plain_dictionaries(spark):
+    """Word-first backoff with dictionaries of strings instead of hash tables."""
+    draw = np.random.default_rng(8)
+    syllables = {"aa": ["ka", "la", "ta", "né", "mi"], "bb": ["stro", "wok", "plu", "xi", "ka"], "cc": ["on", "ün", "the", "ka", "r"]}
+    word = lambda lang: "".join(draw.choice(syllables[lang], draw.integers(1, 4)))
+    rows = [(i, " ".join(word(lang) for _ in range(9)).title() + ", 12!", lang) for i in range(90) for lang in [("aa", "bb", "cc")[i % 3]]]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    letters = lambda text: "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    grams = lambda w, n: [w[i:i + n] for i in range(len(w))] if n == 1 else [f"#{w}#"[i:i + n] for i in range(len(w) + 3 - n)]
+    counts = [{lang: Counter() for lang in model.languages} for _ in range(language.LONGEST + 1)]
+    for _, text, lang in rows:
+        for w in letters(text):
+            counts[0][lang][w] += 1
+            for n in range(1, language.LONGEST + 1):
+                counts[n][lang].update(grams(w, n))
+    tables = []
+    for by in counts:
+        total = sum(by.values(), Counter())
+        kept = [k for k, n in total.items() if n > 1]
+        n = np.array([[by[lang][k] for lang in model.languages] for k in kept], float)
+        tables.append(dict(zip(kept, np.log((n + language.SMOOTH) / (n.sum(axis=0) + language.SMOOTH * len(kept))))))
+
+    def weight(w):
+        if w in tables[0]:
+            return tables[0][w]
+        for n in range(language.LONGEST, 0, -1):
+            hits = [tables[n][g] for g in grams(w, n) if g in tables[n]]
+            if hits:
+                return np.mean(hits, axis=0)
+        return np.zeros(len(model.languages))
+
+    asked = [" ".join(word(lang) + draw.choice(["", "q", "ny"]) for _ in range(draw.integers(1, 20))) for lang in ("aa", "bb", "cc") * 20] + ["zzz 9", "7"]
+    best, chance = model.predict(asked)
+    for text, b, c in zip(asked, best, chance):
+        own = letters(text)
+        if not own:
+            assert b == -1 and c == 0
+            continue
+        mean = np.mean([weight(w) for w in own], axis=0)
+        assert np.isclose(mean[b], mean.max())
+        assert np.isclose(c, 1 / np.exp((mean - mean.max()) * min(len(own), language.SURE)).sum())
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.9])
+def test_quality_steps_follow_the_gradient_of_the_risk(prior):
+    draw = np.random.default_rng(2)
+    positive, unlabelled = draw.normal(1, 1, (30, quality.MEASURES)).astype(np.float32), draw.normal(0, 1, (50, quality.MEASURES)).astype(np.float32)
+    shape = quality._fit(positive, unlabelled, prior, rounds=0)
+
+    def risk(flat):
+        model = quality.Model(shape.edges, flat[:-1].reshape(shape.weights.shape), float(flat[-1]))
+        p, u = model.score(positive), model.score(unlabelled)
+        rest = -np.log(1 - u).mean() + prior * np.log(1 - p).mean()
+        decay = 0.5e-4 * (flat[:-1] @ flat[:-1])
+        return (prior * -np.log(p).mean() + rest if rest >= 0 else -rest) + decay
+
+    def numeric(flat, places):
+        return np.array([(risk(flat + e) - risk(flat - e)) / 2e-4 for e in (1e-4 * np.eye(len(flat))[i] for i in places)])
+
+    flat_of = lambda m: np.append(m.weights.reshape(-1), m.bias)
+    places = np.append(np.arange(0, shape.weights.size, 7), shape.weights.size)
+    rate = 1e-3
+    one, two = (flat_of(quality._fit(positive, unlabelled, prior, rounds=n, rate=rate)) for n in (1, 2))
+    g1 = numeric(np.zeros(len(one)), places)
+    sure = np.abs(g1) > 1e-5
+    assert sure.sum() > 20 and np.allclose(one[places][sure], -rate * np.sign(g1[sure]), rtol=1e-2)
+    g2 = numeric(one, places)
+    first, second = (0.09 * g1 + 0.1 * g2) / (1 - 0.81), (0.999e-3 * g1 ** 2 + 1e-3 * g2 ** 2) / (1 - 0.999 ** 2)
+    assert np.allclose((two - one)[places][sure], (-rate * first / (np.sqrt(second) + 1e-8))[sure], rtol=1e-2, atol=1e-7)
