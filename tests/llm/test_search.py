@@ -211,6 +211,28 @@ def test_fingerprints_and_next_documents(spark):
     assert (110, 999) in pairs
 
 
+def test_near_pairs_equal_brute_force(spark):
+    draw = random.Random(11)
+    base = cases.prose(300, 400).split()
+    texts = []
+    for _ in range(40):
+        words = base[: draw.randrange(120, 400)]
+        for _ in range(draw.randrange(0, 12)):
+            words[draw.randrange(len(words))] = f"word{draw.randrange(50)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = {i: spots(t) for i, t in enumerate(texts)}
+    first = {}
+    for i in own:
+        first.setdefault(frozenset(own[i]), i)
+    for floor in (0.5, 0.8, 1.0):
+        want = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a, b in combinations(sorted(first.values()), 2)}
+        want = {pair: like for pair, like in want.items() if like >= floor}
+        got = fingerprints.near_pairs(docs, floor).collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.likeness for r in got} == want
+        assert floor > 0.6 or len(want) > 20
+
+
 def test_running_sums_and_maxima(spark):
     rows = [(n, [(7 * i) % 11 - 3 for i in range(n)]) for n in (0, 1, 31, 32, 33, 500, 3_000)]
     df = spark.createDataFrame(rows, "n int, xs array<int>")

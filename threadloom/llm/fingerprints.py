@@ -12,6 +12,8 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,9 +123,11 @@ def compare(docs: DataFrame) -> DataFrame:
 def near_pairs(docs: DataFrame, floor: float = 0.8) -> DataFrame:
     """Pairs (a, b, likeness) of class representatives at or above ``floor``; ``classes`` maps documents to them.
 
-    Only signatures in the rare prefix of a set are indexed: two sets at the floor share one of them. The length
-    condition prunes partitions that cannot match before any set is read.
+    Only signatures in the rare prefix of a set are indexed: two sets at the floor share one of them. They are dealt by
+    signature and by set length: lengths of one partition differ by a factor of 1 / ``floor`` at most, so a set meets
+    those of its own partition and, as a visitor, of the next one; all others are never joined.
     """
+    width = max(-math.log(floor), 1e-9) * (1 + 1e-9) if floor > 0 else math.inf
     work = Workspace(docs.sparkSession, "spots")
     reps = work.cut(classes(docs).filter("doc_id = class_id").select("class_id", "spots").dropDuplicates(["class_id"]), "classes")
     spots = reps.select("class_id", F.size("spots").alias("size"), F.explode("spots").alias("spot"))
@@ -134,9 +138,13 @@ def near_pairs(docs: DataFrame, floor: float = 0.8) -> DataFrame:
     prefix = work.cut(
         ranked.withColumn("place", F.col("place") + alone).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * floor) + 1)
         .select("class_id", "size", "spot"), "prefixes")
-    fits = (F.col("l.spot") == F.col("r.spot")) & (F.col("l.class_id") < F.col("r.class_id")) & (
+    homes = prefix.withColumns({"part": F.floor(F.log("size") / width), "visits": F.lit(False)})
+    both = homes.unionByName(homes.withColumns({"part": F.col("part") + 1, "visits": F.lit(True)}))
+    fits = (F.col("l.spot") == F.col("r.spot")) & (F.col("l.part") == F.col("r.part")) & (
+        F.col("r.visits") | (F.col("l.class_id") < F.col("r.class_id"))) & (
         F.least("l.size", "r.size") >= F.greatest("l.size", "r.size") * floor)
-    pairs = prefix.alias("l").join(prefix.alias("r"), fits).select(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b")).distinct()
+    pairs = homes.alias("l").join(both.alias("r"), fits).select(
+        F.least("l.class_id", "r.class_id").alias("a"), F.greatest("l.class_id", "r.class_id").alias("b")).distinct()
     side = lambda name: reps.select(F.col("class_id").alias(name), F.col("spots").alias(f"spots_{name}"))
     scored = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", likeness("spots_a", "spots_b", floor).alias("likeness"))
     return scored.filter(F.col("likeness") >= floor)
