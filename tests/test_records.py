@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadloom import schema
 from threadloom.functions.chain import json_object, json_string
 from threadloom.operators import audit as au, edits as ed, relate as rl, skew, upsert as up
+from threadloom.operators.cutting import Workspace
 from threadloom.operators.ingest import ingest_reports
 from threadloom.plans import catalog_text
 from threadloom.sources import delimited as dl
@@ -329,3 +330,26 @@ def test_submitted_call_tables_stay_bounded_and_whole(spark):
     assert loose.count() == 0
     found = dl.call_rows(routed.select("case_id", "doc_id", "text")).select("case_id", "caller", "called").collect()
     assert sorted(map(tuple, found)) == sorted((c, a, b) for c, _, a, b, *_ in rows)
+
+
+def test_append_keeps_a_case_together_when_tips_are_joined_by_shuffle(spark):
+    """With many tips the join is planned as a shuffle and turned into a broadcast at run time, which reads shuffles locally."""
+    events = spark.range(0, 4000, 1, 6).selectExpr(
+        "cast(id % 7 as string) AS case_id", "lpad(cast(id as string), 6, '0') AS ts", "'view' AS action", "'{}' AS details")
+    whole = au.append(spark.createDataFrame([], schema.AUDIT), events, ["ts"])
+    want = {(r.case_id, r.seq): r.hash for r in whole.collect()}
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions",
+             "spark.sql.adaptive.coalescePartitions.enabled")
+    old = {k: spark.conf.get(k, None) for k in names}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        first = Workspace(spark, "audit").cut(au.append(spark.createDataFrame([], schema.AUDIT), events.filter("ts < '001000'"), ["ts"]), "first")
+        second = au.append(first, events.filter("ts >= '001000'"), ["ts"]).collect()
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    got = [((r.case_id, r.seq), r.hash) for r in [*first.collect(), *second]]
+    assert len(got) == 4000 and dict(got) == want
