@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom import schema
 from threadloom.functions.chain import json_object, json_string
-from threadloom.operators import audit as au, edits as ed, relate as rl, skew, upsert as up
+from threadloom.operators import audit as au, edits as ed, mentions as mn, relate as rl, skew, upsert as up
 from threadloom.operators.cutting import Workspace
 from threadloom.operators.ingest import ingest_reports
 from threadloom.plans import catalog_text
@@ -353,3 +353,17 @@ def test_append_keeps_a_case_together_when_tips_are_joined_by_shuffle(spark):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     got = [((r.case_id, r.seq), r.hash) for r in [*first.collect(), *second]]
     assert len(got) == 4000 and dict(got) == want
+
+
+def test_dictionary_of_few_names_out_of_a_large_table_is_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "500k")
+    try:
+        names = spark.range(200_000).select(F.concat(F.lit("Anil Rao"), F.col("id") % 5).alias("name"))
+        docs = spark.createDataFrame([("a", "Anil Rao3 met Anil Rao9's son.")], "doc_id string, sentence string")
+        found = mn.dictionary_mentions(docs, names)
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+        assert [r["name"] for r in found.collect()] == ["Anil Rao3"]
+    finally:
+        spark.conf.set(key, old)
