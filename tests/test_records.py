@@ -355,6 +355,26 @@ def test_append_keeps_a_case_together_when_tips_are_joined_by_shuffle(spark):
     assert len(got) == 4000 and dict(got) == want
 
 
+def test_report_lines_are_shuffled_once_and_dealt_in_proportion(spark, monkeypatch):
+    """With buyers and parts beyond a broadcast, only the order key moves the lines; more lines, more tasks."""
+    from threadloom.plans import domain
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "10k")
+    try:
+        plain = domain.Domain(spark, "/root/testdata/sf0.01").report_parts
+        assert "hashpartitioning(l_suppkey" not in plain._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(domain, "ROWS_A_TASK", 5_000)
+        many = domain.Domain(spark, "/root/testdata/sf0.01")
+        assert many.line_tasks == 12 and many.report_parts.rdd.getNumPartitions() >= 12
+        trade = many.trade
+        assert "REPARTITION_BY_NUM" in trade._jdf.queryExecution().executedPlan().toString()
+        assert many.report_parts.count() == plain.count() and many.report_parts.exceptAll(plain).isEmpty()
+    finally:
+        spark.conf.set(key, old)
+
+
 def test_dictionary_of_few_names_out_of_a_large_table_is_broadcast(spark):
     key = "spark.sql.autoBroadcastJoinThreshold"
     old = spark.conf.get(key)
