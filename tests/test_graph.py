@@ -126,3 +126,30 @@ def test_degree_and_report(spark):
     apart = edges.union(spark.createDataFrame([("g", "x", "y", "CDR_LINK")], edges.schema))
     assert cuts.bridge_persons(apart, persons, connected_only=True).count() == 0
     assert cuts.bridge_persons(apart, persons, connected_only=False).count() == 1
+
+
+def shuffled_rows(spark, run):
+    """What ``run`` gives and the rows that its stages shuffle."""
+    jvm = spark._jvm
+    context = spark.sparkContext._jsc.sc()
+
+    def written():
+        stages = context.statusStore().stageList(
+            jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    done = run()
+    context.listenerBus().waitUntilEmpty()
+    return done, written() - before
+
+
+def test_betweenness_of_many_ways_into_one_vertex(spark):
+    """Each source reaches the hub; no source is taken back along the ways of all others."""
+    n = 600
+    rows = [("g", f"s{i:03d}", "hub") for i in range(n)] + [("g", "hub", "end"), ("g", "end", "last")]
+    edges = spark.createDataFrame(rows, "graph string, src string, dst string")
+    got, shuffled = shuffled_rows(spark, lambda: {r.v: r.betweenness for r in paths.betweenness(edges).collect()})
+    size = (n + 3 - 1) * (n + 3 - 2)
+    assert got["hub"] == pytest.approx(2 * n / size) and got["end"] == pytest.approx((n + 1) / size) and got["s000"] == 0
+    assert shuffled < n * n / 4
