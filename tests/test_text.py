@@ -141,3 +141,31 @@ def test_dictionary_and_candidate_people(spark):
     assert got == {(0, "Rahul Sharma"), (0, "R. Sharma"), (0, "Anil Kumar Rao")}
     docs = spark.createDataFrame([("c", "Later Mr. Anil Kumar met Deepak Rao near Goa.")], "case_id string, text string")
     assert {r.name for r in mn.candidate_people(docs).collect()} >= {"Deepak Rao"}
+
+
+def test_triggers_do_not_lower_a_sentence_for_each_of_them(spark):
+    from threadloom.operators.relate import fired_triggers
+
+    rows = spark.createDataFrame([("He CALLED and Transferred it",), ("",), (None,)], "sentence string")
+    found = rows.select(fired_triggers(F.col("sentence")).alias("fired"))
+    assert "exists(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [r.fired for r in found.collect()]
+    assert "FINANCIAL_TRAIL" in got[0] and got[1] == [] and got[2] == []
+
+
+def test_people_are_folded_without_a_pass_over_the_texts(spark, monkeypatch):
+    from threadloom.operators.cutting import Workspace
+    from threadloom.operators.ingest import ingest_reports
+
+    plans, cut = {}, Workspace.cut
+
+    def seen(self, df, tag):
+        plans.setdefault(tag, df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(self, df, tag)
+
+    monkeypatch.setattr(Workspace, "cut", seen)
+    docs = spark.createDataFrame([("c", str(i), "Asha Rao called 9876543210 from Goa.") for i in range(3)], "case_id string, doc_id string, text string")
+    names = spark.createDataFrame([("Asha Rao",)], "name string")
+    done = ingest_reports(docs, names, spark.createDataFrame([("Goa",)], "name string"))
+    assert {(r.label, r.id) for r in done.entities.collect()} == {("Person", "Asha Rao"), ("Location", "Goa"), ("Phone", "9876543210")}
+    assert "regexp_extract_all" not in plans["asked"]
