@@ -63,3 +63,14 @@ def test_tables_without_names_train_an_empty_model(spark):
     model = tagger.fit(none, names, names)
     some = spark.createDataFrame([(1, "Anil Rao left.")], "doc_id int, sentence string")
     assert not model.weight.any() and tagger.tagged_mentions(some, model).count() == 0
+
+
+def test_tokens_are_counted_before_they_are_shaped(spark):
+    rows = [("Anil Rao called Anil Rao.",), ("anil X9-a",), ("",), (None,), ("'’ ÉLAN",)]
+    found = tagger.feature_counts(spark.createDataFrame(rows * 3, "sentence string"))
+    got = {(r.shape, r.ending, r.before): r.n for r in found.collect()}
+    assert got == {
+        ("Aa", "nil", "<s>"): 3, ("Aa", "rao", "anil"): 6, ("a", "led", "rao"): 3, ("Aa", "nil", "called"): 3, (".", ".", "rao"): 3,
+        ("a", "nil", "<s>"): 3, ("A9-a", "9-a", "anil"): 3, ("'", "'", "<s>"): 3, ("’", "’", "'"): 3, ("A", "lan", "’"): 3}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan[plan.index("\n", plan.rindex("Aggregate")):]
