@@ -4,8 +4,10 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
-from threadloom.operators import analysis as an, cuts, network as nw, paths
+from threadloom.operators import analysis as an, cuts, network as nw, paths, views as vw
+from threadloom.operators.upsert import entity_rows
 
 
 @pytest.fixture(scope="module")
@@ -153,3 +155,36 @@ def test_betweenness_of_many_ways_into_one_vertex(spark):
     size = (n + 3 - 1) * (n + 3 - 2)
     assert got["hub"] == pytest.approx(2 * n / size) and got["end"] == pytest.approx((n + 1) / size) and got["s000"] == 0
     assert shuffled < n * n / 4
+
+
+def dense(spark):
+    """Every one of 30 vertices with every one of 200, and a tail."""
+    rows = [("g", f"a{i:03d}", f"b{j:03d}") for i in range(30) for j in range(200)] + [("g", "b000", "t1"), ("g", "t1", "t2")]
+    return spark.createDataFrame(rows, "graph string, src string, dst string"), len(rows)
+
+
+def test_components_of_a_dense_graph(spark):
+    edges, n = dense(spark)
+    got, shuffled = shuffled_rows(spark, lambda: {r.component for r in nw.components(edges).collect()})
+    assert got == {"a000"} and shuffled < 2 * n
+
+
+def test_articulation_of_a_dense_graph(spark):
+    edges, n = dense(spark)
+    got, shuffled = shuffled_rows(spark, lambda: {r.v for r in cuts.articulation_vertices(edges).collect()})
+    assert got == {"b000", "t1"} and shuffled < 4 * n
+
+
+def test_holders_of_a_shared_value_in_a_ring(spark):
+    """As many rows as holders, and the cut vertices of all pairs of them."""
+    cases = [f"c{i:02d}" for i in range(40)]
+    held = [(c, "Organization", "o") for c in cases] + [("c00", "Phone", "p"), ("c01", "Phone", "p"), ("c02", "Person", "Ann")]
+    entities = entity_rows(spark.createDataFrame(held, "case_id string, label string, id string"), "t")
+    stored = [(c, "Person", f"x {c}", "KNOWS", c, "Organization", "o") for c in cases[:3]] + [("c00", "Phone", "p", "KNOWS", "c02", "Person", "Ann")]
+    shape = "src_case string, src_label string, src_id string, rel string, dst_case string, dst_label string, dst_id string"
+    edges = spark.createDataFrame(stored, shape).withColumn("confidence", F.lit(1.0))
+    rings = [(r.src, r.dst) for r in vw.all_cut_edges(edges, entities).collect()]
+    pairs = [(r.src, r.dst) for r in vw.all_analysis_edges(edges, entities).collect()]
+    assert len(rings) == len(stored) + 40 + 2 and len(pairs) == len(stored) + 40 * 39 // 2 + 1
+    cut = lambda es: {v for v in nodes(es) if clusters(es, v) > clusters(es)}
+    assert len(cut(pairs)) == 4 and cut(rings) == cut(pairs)
