@@ -387,3 +387,13 @@ def test_dictionary_of_few_names_out_of_a_large_table_is_broadcast(spark):
         assert [r["name"] for r in found.collect()] == ["Anil Rao3"]
     finally:
         spark.conf.set(key, old)
+
+
+def test_lines_are_cut_once_for_the_route(spark, tmp_path):
+    rows = [("a", "1", "x,y\n1,2"), ("a", "2", "x,y\n1;2"), ("a", "3", "x;y,z\n \n1;2,3"), ("a", "4", None), ("a", "5", ""), ("a", "6", "x|y"), ("a", "7", "no\n1,2")]
+    spark.createDataFrame(rows, "case_id string, doc_id string, text string").write.parquet(f"{tmp_path}/docs")
+    tables, prose = dl.route_documents(spark.read.parquet(f"{tmp_path}/docs"))
+    assert {(r.doc_id, r.delimiter) for r in tables.collect()} == {("1", ","), ("3", ",")}
+    assert {r.doc_id for r in prose.collect()} == {"2", "4", "5", "6", "7"}
+    for part in (tables, prose):
+        assert part._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

@@ -12,7 +12,7 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 
 
 def text_lines(text: Column) -> Column:
-    return F.filter(F.split(strip(text), LINE_BREAK), lambda line: strip(line) != "")
+    return F.filter(F.split(strip(text), LINE_BREAK), lambda line: line.rlike(r"(?U)\S"))
 
 
 def line_count(text: Column) -> Column:
@@ -31,8 +31,9 @@ def delimiter_of(lines: Column, order: list[str] = rules.DELIMITERS, head: int |
     seen = lines if head is None else F.slice(lines, 1, head)
 
     def votes(delimiter: str) -> Column:
-        counts = F.array_distinct(F.transform(seen, lambda line: _count(line, delimiter)))
-        return (F.size(counts) == 1) & (F.get(counts, F.lit(0)) > 0)
+        # most texts are settled by their first line, the others by the first one that differs
+        first = _count(F.get(seen, F.lit(0)), delimiter)
+        return (first > 0) & F.forall(seen, lambda line: _count(line, delimiter) == first)
 
     choice = F.coalesce(*[F.when(votes(d), F.lit(d)) for d in order])
     return F.when(F.size(lines) >= min_rows, choice)

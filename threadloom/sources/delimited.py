@@ -67,11 +67,21 @@ def positional_call_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+def routed(docs: DataFrame) -> DataFrame:
+    """Documents with their delimiter, null for narratives, in one pass over the texts.
+
+    The lines go in as the one element of a list: named in several places, they would be cut anew for each.
+    """
+    lines = F.array(tabular.text_lines(F.col("text")))
+    found = F.transform(lines, lambda own: tabular.delimiter_of(own, rules.DELIMITERS))
+    return docs.select(*docs.columns, F.explode_outer(found).alias("delimiter"))
+
+
 def route_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split documents into call tables and narratives."""
-    seen = detect(docs)
+    seen = routed(docs)
     return (
-        seen.filter("delimiter IS NOT NULL").select(*docs.columns, "delimiter"),
+        seen.filter("delimiter IS NOT NULL"),
         seen.filter("delimiter IS NULL").select(*docs.columns),
     )
 
