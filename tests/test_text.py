@@ -169,3 +169,13 @@ def test_people_are_folded_without_a_pass_over_the_texts(spark, monkeypatch):
     done = ingest_reports(docs, names, spark.createDataFrame([("Goa",)], "name string"))
     assert {(r.label, r.id) for r in done.entities.collect()} == {("Person", "Asha Rao"), ("Location", "Goa"), ("Phone", "9876543210")}
     assert "regexp_extract_all" not in plans["asked"]
+
+
+def test_accounts_of_a_text_are_searched_once(spark, tmp_path):
+    from threadloom.operators.relate import narrative_transfers
+
+    rows = [("c", "1", "Sent 12345678 to ab1234567."), ("c", "2", "12345678 and 123456789"), ("c", "3", "transfer of 12345678"), ("c", "4", None)]
+    spark.createDataFrame(rows, "case_id string, doc_id string, text string").write.parquet(f"{tmp_path}/docs")
+    found = narrative_transfers(spark.read.parquet(f"{tmp_path}/docs"))
+    assert [(r.doc_id, r.src_id, r.dst_id) for r in found.collect()] == [("1", "12345678", "ab1234567")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("{8,20}") == 1

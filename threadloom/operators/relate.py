@@ -172,9 +172,12 @@ def transferred_to(transactions: DataFrame) -> DataFrame:
 def narrative_transfers(docs: DataFrame) -> DataFrame:
     """Texts that speak of a transfer: an edge from the first to the second account named."""
     body = F.col("text")
-    found = docs.select(
-        "case_id", "doc_id", body, tx.account_mentions(body).alias("accounts"), F.lower(body).alias("low")
-    ).filter((F.size("accounts") >= 2) & (F.contains("low", F.lit("transfer")) | F.contains("low", F.lit("sent"))))
+    low = F.lower(body)
+    spoken = docs.filter(F.contains(low, F.lit("transfer")) | F.contains(low, F.lit("sent")))
+    # as the one element of a list, so that the accounts of a text are searched once for the filter and the result
+    found = spoken.select(
+        "case_id", "doc_id", body, F.explode_outer(F.array(tx.account_mentions(body))).alias("accounts")
+    ).filter(F.size("accounts") >= 2)
     placed = F.array_sort(F.transform("accounts", lambda a: F.struct(F.instr(body, a).alias("at"), a.alias("account"))))
     return found.withColumn("placed", placed).select(
         "case_id", "doc_id", F.get("placed", F.lit(0))["account"].alias("src_id"),
