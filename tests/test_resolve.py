@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions.scoring import name_score
-from threadloom.operators import resolve as rs
+from threadloom.operators import edits as ed, resolve as rs
 
 FIRST = ["Rahul", "Rohan", "Anil", "R.", "A.", "RAHUL", "R.K.", "anil kumar", "Anil Kumar Dev Prasad"]
 LAST = ["Sharma", "sharma", "Rao", "Kumar", "Rao Singh"]
@@ -133,3 +133,16 @@ def test_cross_case_links(spark):
     assert {((r.case_a, r.id_a), (r.case_b, r.id_b)) for r in links if r.type == "Person"} == want
     assert rs.exact_links(table, ["a", "b"]).count() == 1
     assert rs.link_groups(table).first().link_count == 3
+
+
+def test_merges_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    rows = spark.sparkContext.parallelize([("c", "Person", f"n{i}", f"n{i + 1}") for i in range(5)], 2).map(counted)
+    merges = spark.createDataFrame(rows, "case_id string, label string, keep_id string, merge_id string")
+    got = {(r.keep_id, r.merge_id) for r in ed.collapse_merges(merges).collect()}
+    assert got == {("n0", f"n{i + 1}") for i in range(5)} and seen.value == 5
