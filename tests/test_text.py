@@ -132,6 +132,25 @@ def test_reports_from_files_and_bytes(spark, tmp_path):
     assert [r.case_id for r in rp.blank_submissions(inline).collect()] == ["a"]
 
 
+def test_many_reports_share_a_file(spark, tmp_path):
+    from threadloom.sources import reports as rp
+
+    texts = ["a\nb\n", "", "\n", None, "x\r\ny\rz", "\n--\n--0--\n", "\u00e9\u0001 " * 900, "\ufefflast"] * 25
+    reports = spark.createDataFrame(list(enumerate(texts)), "name int, text string").repartition(2)
+    path = str(tmp_path / "reports")
+    mark = rp.write_reports(reports, path)
+    assert len(list((tmp_path / "reports").glob("part-*"))) <= 2
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        read = rp.read_reports(spark, path, mark)
+        got = {int(r.path): (r.text, r.line_count) for r in read.collect()}
+        assert read.rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    assert got == {i: (t, None if t is None else len(t.splitlines())) for i, t in enumerate(texts)}
+
+
 def test_dictionary_and_candidate_people(spark):
     names = spark.createDataFrame([("Rahul Sharma",), ("R. Sharma",), ("Anil Kumar Rao",)], "name string")
     sentences = spark.createDataFrame([

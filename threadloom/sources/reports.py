@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import tabular, text
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """One row per text file: path, text, line_count."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("value").alias("text"),
-        tabular.line_count(F.col("value")).alias("line_count"),
-    )
+def write_reports(reports: DataFrame, path: str) -> str:
+    """Reports (name, text) as text files of many reports each, a file per task; returns the mark that ends each report.
+
+    The name, of one line, is the first line of a report; where the text is null it is all of it. The mark is drawn anew
+    for each call, as for the parts of a mail, so that no text holds it.
+    """
+    mark = f"\n--{uuid.uuid4().hex}--\n"
+    named = F.concat_ws("\n", F.coalesce(F.col("name").cast("string"), F.lit("")), "text")
+    reports.select(named.alias("value")).write.text(path, lineSep=mark)
+    return mark
+
+
+def read_reports(spark: SparkSession, path: str, mark: str | None = None) -> DataFrame:
+    """One row per text file, or per report of files by ``write_reports``: path (or name), text, line_count."""
+    if mark is None:
+        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    else:
+        name = F.substring_index("value", "\n", 1)
+        files = spark.read.text(path, lineSep=mark).select(
+            name.alias("path"),
+            F.when(F.contains("value", F.lit("\n")), F.substring("value", F.length(name) + 2, F.length("value"))).alias("text"),
+        )
+    return files.select("path", "text", tabular.line_count(F.col("text")).alias("line_count"))
 
 
 def read_bytes(spark: SparkSession, path: str) -> DataFrame:
