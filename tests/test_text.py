@@ -1,5 +1,6 @@
 """Text and table functions against plain Python on small inputs."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -38,6 +39,37 @@ def test_patterns_match_python_classes(spark):
         assert set(found) == {m for p in rules.ACCOUNT_PATTERNS for m in re.findall(p, sample, re.I)}
 
 
+def _pieced_texts(n=600):
+    """Texts of pieces that make, cut short or join numbers and plates, in and out of ASCII."""
+    draw = random.Random(7)
+    pieces = ["KA05MH1234", "ka 05 mh 1234", "KA-05-MH-1234", "22 BH 1234 AB", "ABC 123", "123abc", "a1b", "AB12345", "12345678", "AB123456",
+              "+91 98765-43210", "+91-9876543210", "022-12345678", "12-9876543210", "(022) 555-1234", "022-555-1234", "+1 5551234567", "0",
+              "7", "12", "1234", "K", "xy", "XYZ", "word", "longer words, and more of them. ", "é", "ſ", "\u212a", "\u0301", "९८७६", "_", "-", " ", " ",
+              "\n", "\u00a0", "\u0001", ".", "+", "(", "日本語", "\U0001d7d8"]
+    return ["".join(draw.choice(pieces) for _ in range(draw.randrange(1, 25))) for _ in range(n)]
+
+
+def test_searching_near_digits_finds_what_whole_texts_hold(spark):
+    rows, text = SAMPLES + _pieced_texts(), F.col("text")
+    trimmed = lambda found: F.array_distinct(F.transform(found, tx.strip))
+    upper = lambda found: F.array_distinct(F.transform(found, lambda x: F.upper(tx.strip(x))))
+    ten = lambda found: F.filter(found, lambda x: F.length(F.regexp_replace(x, r"(?U)\D", "")) >= 10)
+    for got, want in [
+        (tx.phone_mentions(text), trimmed(ten(tx.find_all(text, rules.PHONE_PATTERNS)))),
+        (tx.phone_mentions_wide(text), trimmed(ten(tx.find_all(text, rules.PHONE_PATTERNS_WIDE)))),
+        (tx.plate_mentions(text), trimmed(tx.find_all(text, rules.PLATE_PATTERNS))),
+        (tx.plate_mentions_wide(text), upper(tx.find_all(text, rules.PLATE_PATTERNS_WIDE, "(?iU)"))),
+        (tx.account_mentions(text), F.filter(trimmed(tx.find_all(text, rules.ACCOUNT_PATTERNS, "(?iU)")), lambda x: F.length(x) >= 4)),
+    ]:
+        assert column(spark, got, rows) == column(spark, want, rows)
+
+
+def test_plate_patterns_are_not_tried_on_whole_texts(spark):
+    docs = spark.createDataFrame([("KA05MH1234",)], "text string")
+    plan = docs.select(tx.plate_mentions_wide(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(" in plan and "regexp_extract_all(text" not in plan
+
+
 def test_overlapping_phone_forms_stay_distinct(spark):
     assert column(spark, tx.phone_mentions(F.col("text")), ["+91 9876543210"]) == [["+91 9876543210", "9876543210"]]
 
