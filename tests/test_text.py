@@ -70,6 +70,17 @@ def test_plate_patterns_are_not_tried_on_whole_texts(spark):
     assert "regexp_extract_all(" in plan and "regexp_extract_all(text" not in plan
 
 
+def test_equal_parts_of_a_case_are_searched_once(spark):
+    rows = [(f"c{i % 3}", i, t + " via Malabar Traders" if i % 5 == 1 else t) for i, t in enumerate(_pieced_texts(200) + [None])]
+    docs = spark.createDataFrame(rows, "case_id string, doc_id int, text string")
+    found = mn.pattern_mentions_by(docs, "case_id")
+    want = mn.pattern_mentions(docs).select("case_id", "label", "value").distinct()
+    assert sorted(found.distinct().collect()) == sorted(want.collect()) and want.count() > 20
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    searched = max(i for i, line in enumerate(plan) if "regexp_extract_all" in line)
+    assert any("Aggregate" in line for line in plan[searched:])
+
+
 def test_overlapping_phone_forms_stay_distinct(spark):
     assert column(spark, tx.phone_mentions(F.col("text")), ["+91 9876543210"]) == [["+91 9876543210", "9876543210"]]
 
