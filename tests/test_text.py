@@ -241,3 +241,30 @@ def test_accounts_of_a_text_are_searched_once(spark, tmp_path):
     found = narrative_transfers(spark.read.parquet(f"{tmp_path}/docs"))
     assert [(r.doc_id, r.src_id, r.dst_id) for r in found.collect()] == [("1", "12345678", "ab1234567")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("{8,20}") == 1
+
+
+def test_equal_sentences_of_a_case_are_read_once(spark):
+    from threadloom.operators.ingest import ingest_reports
+
+    texts = [("c", "1"), ("c", "2"), ("d", "1"), ("c", "3"), ("c", "3"), ("c", None)]
+    docs = spark.createDataFrame([(c, d, "Asha Rao called Ravi Das from Goa. Asha Rao left.") for c, d in texts], "case_id string, doc_id string, text string")
+    names = spark.createDataFrame([("Asha Rao",), ("Ravi Das",)], "name string")
+    done = ingest_reports(docs, names, spark.createDataFrame([("Goa",)], "name string"))
+    # documents 1 and 2 share a row; one that stands twice and one without an id are left to the joins by document
+    assert sorted((r.case_id, r.n, r.last.doc_id) for r in done.said.collect()) == [("c", 2, "2"), ("c", 2, "2"), ("d", 1, "1"), ("d", 1, "1")]
+    found = {(r.src_case, r.rel, r.dst_id): r.confidence for r in done.edges().collect() if r.src_id == "Asha Rao"}
+    assert found[("c", "CDR_LINK", "Ravi Das")] == 4 and found[("d", "CDR_LINK", "Ravi Das")] == 1
+    assert {r.source_sentence for r in done.edges(rels=["CDR_LINK"]).collect()} == {"Asha Rao called Ravi Das from Goa."}
+    assert {r.rel for r in done.edges(rels=["SPOTTED_AT"]).collect()} == {"SPOTTED_AT"}
+    present = [(r.case_id, r.doc_id, r.sent_no, r.value) for r in done.present.collect()]
+    assert present.count(("c", "1", 0, "Ravi Das")) == 1 and present.count(("c", "2", 1, "Asha Rao")) == 1
+
+
+def test_texts_are_cut_and_words_joined_outside_the_generator(spark, tmp_path):
+    spark.createDataFrame([("c", "1", "Asha Rao left.")], "case_id string, doc_id string, text string").write.parquet(f"{tmp_path}/docs")
+    cut = mn.sentence_table(spark.read.parquet(f"{tmp_path}/docs"))
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Rs|Mr|Mrs") == 2 and "Generate posexplode(_sentences" in plan
+    names = spark.createDataFrame([("Asha Rao",)], "name string")
+    plan = mn.dictionary_mentions(cut, names)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(_keys" in plan and plan.count("zip_with") == 1
