@@ -297,6 +297,20 @@ def test_report_stream_resolves_against_stored(spark, tmp_path):
     assert {(r.rel, r.confidence) for r in stream.edges().collect() if r.dst_label == "Person"} == {("CDR_LINK", 2.0)}
 
 
+def test_a_batch_of_one_file_is_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    from threadloom.streaming import reports
+
+    tasks, ingest = [], reports.ingest_reports
+    monkeypatch.setattr(reports, "ingest_reports", lambda docs, *rest: tasks.append(docs.rdd.getNumPartitions()) or ingest(docs, *rest))
+    docs = spark.createDataFrame([("c", "1", "Anil Rao left."), ("c", "2", "Anil Rao came.")], "case_id string, doc_id string, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "in"))
+    names = spark.createDataFrame([("Anil Rao",)], "name string")
+    stream = ReportStream(spark, str(tmp_path / "store"), names, spark.createDataFrame([("Goa",)], "name string"))
+    stream.start(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), str(tmp_path / "cp")).awaitTermination()
+    assert tasks == [spark.sparkContext.defaultParallelism] and tasks[0] > 1
+    assert {r.id for r in stream.entities().collect()} == {"Anil Rao"}
+
+
 @pytest.mark.parametrize("name", ["src3", "fmt4", "ext2", "res4", "rel11", "view11", "edit2", "edit4", "aud4", "gr8", "res8", "ext3_list"])
 def test_registered_queries_match_sql(spark, name):
     import duckdb
