@@ -74,3 +74,19 @@ def test_tokens_are_counted_before_they_are_shaped(spark):
         ("a", "nil", "<s>"): 3, ("A9-a", "9-a", "anil"): 3, ("'", "'", "<s>"): 3, ("’", "’", "'"): 3, ("A", "lan", "’"): 3}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan[plan.index("\n", plan.rindex("Aggregate")):]
+
+
+def test_equal_sentences_and_windows_are_tagged_once(spark, monkeypatch):
+    draw = np.random.default_rng(7)
+    model = tagger.Model(draw.normal(size=(tagger.SLOTS, len(tagger.TAGS))).astype(np.float32), draw.normal(size=(len(tagger.TAGS) + 1, len(tagger.TAGS))).astype(np.float32))
+    texts = ["a", "b a", "a a a a a", "a b a b a b", "b b a c", "c", "a b", "c a b a"]
+    own = [(t.split(), ["a"] * len(t.split())) for t in texts]
+    plain = [np.array([model.weight[tagger._features(*s, j)].sum(axis=0) for j in range(len(s[0]))]) for s in own]
+    known = {}
+    assert np.allclose(model.gains(own, known), np.concatenate(plain), atol=1e-5) and len(known) < sum(map(len, plain))
+    asked, features = [], tagger._features
+    monkeypatch.setattr(tagger, "_features", lambda *place: asked.append(place) or features(*place))
+    assert len(model.tag(own * 3, known)) == 24 and not asked
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "doc_id int, sentence string")
+    got = sorted(map(tuple, tagger.tagged_mentions(table, model).collect()))
+    assert got and [(i + 8, *rest) for i, *rest in got if i < 8] == [r for r in got if r[0] >= 8]
