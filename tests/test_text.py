@@ -268,3 +268,16 @@ def test_texts_are_cut_and_words_joined_outside_the_generator(spark, tmp_path):
     names = spark.createDataFrame([("Asha Rao",)], "name string")
     plan = mn.dictionary_mentions(cut, names)._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode(_keys" in plan and plan.count("zip_with") == 1
+
+
+def test_mentions_of_a_document_take_one_pass(spark, tmp_path):
+    rows = [("c", "1", "Asha Rao called 9876543210 from Goa. Asha Rao owns KA05MH1234."), ("c", "2", "Nobody came."), ("c", "3", "Om Sai Finance Corp"),
+            ("c", "4", None), ("c", "5", "Ravi Das left."), ("c", "5", "Asha Rao came to Goa.")]
+    spark.createDataFrame(rows, "case_id string, doc_id string, text string").write.parquet(f"{tmp_path}/docs")
+    names = spark.createDataFrame([("Asha Rao",), ("Ravi Das",), ("Mr",)], "name string")
+    found = mn.document_mentions(spark.read.parquet(f"{tmp_path}/docs"), names, spark.createDataFrame([("Goa",)], "name string"))
+    got = {r.doc_id: (r.people, r.locations, r.vehicles, r.phones, r.organizations) for r in found.collect()}
+    assert got == {
+        "1": (["Asha Rao"], ["Goa"], ["KA05MH1234"], ["9876543210"], []), "3": ([], [], [], [], ["Om Sai Finance Corp"]),
+        "5": (["Asha Rao", "Ravi Das"], ["Goa"], [], [], [])}
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count(f"{tmp_path}/docs") == 1
